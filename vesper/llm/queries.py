@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import frames, quality_rules
+from . import frames, jaccard, quality_rules
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean(frames.table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(frames.table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules,)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
