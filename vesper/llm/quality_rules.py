@@ -57,19 +57,6 @@ def _sums(flags: np.ndarray) -> np.ndarray:
     return out
 
 
-def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the lines of all texts, and each text's first line; an empty text is one empty line."""
-    breaks = np.flatnonzero(data == 10)
-    owner = np.searchsorted(offs, breaks, side="right") - 1
-    first = np.zeros(offs.size, dtype=np.int64)
-    np.cumsum(np.bincount(owner, minlength=offs.size - 1) + 1, out=first[1:])
-    starts, ends = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
-    starts[first[:-1]], ends[first[1:] - 1] = offs[:-1], offs[1:]
-    place = np.arange(breaks.size) + owner
-    ends[place], starts[place + 1] = breaks, breaks + 1
-    return starts, ends, first
-
-
 def twice(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each key: does its owner have it more than once, and is this a later one."""
     own = text.mix(keys ^ (owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
@@ -100,7 +87,7 @@ def judge(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     np.add.at(cover, at[many] + REPEAT_WINDOW, -1)
     repeated = _sums(np.cumsum(cover)[: starts.size] > 0)
 
-    lo, hi, lines = line_spans(data, offs)
+    lo, hi, lines = text.line_spans(data, offs)
     w0, w1 = np.searchsorted(starts, lo), np.searchsorted(starts, hi)
     words = w1 - w0
     owner = np.repeat(np.arange(n), np.diff(lines))

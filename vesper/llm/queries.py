@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import frames, jaccard, quality_rules
+from . import frames, jaccard, line_dedup, mixing, packing, quality_rules
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +16,28 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(frames.table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(frames.table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack(frames.table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("byte_bpe_50k.json"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(frames.table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_units", "n_removed", "chars_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_ngram_jaccard_join, op6_mixing_sources, op7_best_fit_packing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing_sources": mixing.ORACLE, "op10_substring_dedup": line_dedup.ORACLE}
