@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames, jaccard, line_dedup, mixing, packing, quality_rules
+from . import frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean(frames.table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.judge(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "labels"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(frames.table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -36,7 +40,7 @@ def public_tokenizer(name: str) -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_ngram_jaccard_join, op6_mixing_sources, op7_best_fit_packing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op6_mixing_sources, op7_best_fit_packing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
