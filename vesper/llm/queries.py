@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules
+from . import frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, toxicity
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None
     return packing.pack(frames.table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup(frames.table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_units", "n_removed", "chars_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -40,7 +44,7 @@ def public_tokenizer(name: str) -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op6_mixing_sources, op7_best_fit_packing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op6_mixing_sources, op7_best_fit_packing, op9_toxicity, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
