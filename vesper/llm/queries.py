@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, toxicity
+from . import chat, frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, toxicity
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    rows = frames.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    segments = chat.format_conversations(rows.unionByName(own), tokenizer or public_tokenizer("byte_bpe_50k.json"))
+    return chat.digests(segments).drop("n_tokens", "n_loss_tokens")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +52,8 @@ def public_tokenizer(name: str) -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op6_mixing_sources, op7_best_fit_packing, op9_toxicity, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op6_mixing_sources, op7_best_fit_packing, op9_toxicity, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing_sources": mixing.ORACLE, "op10_substring_dedup": line_dedup.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op6_mixing_sources": mixing.ORACLE, "op10_substring_dedup": line_dedup.ORACLE}
