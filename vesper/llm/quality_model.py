@@ -147,6 +147,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return frames.scan(frames.doc_columns(docs, "doc_id", "text"), kernel, "doc_id long, score double")
 
 
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """docs, all columns, with the score beside them: one scan, no join."""
+    table, shift = model.table(), model.shift
+    plain = [f"_c{i}" for i in range(len(docs.columns))]
+    kinds = ", ".join(f"{p} {f.dataType.simpleString()}" for p, f in zip(plain, docs.schema.fields, strict=True))
+    said = plain[docs.columns.index("text")]
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offs = text.of_column(batch.column(said))
+        found = [logits(table, d, o) for _, _, d, o in text.slices(data, offs)]
+        score = pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(found) + shift, -30, 30))))
+        return pa.RecordBatch.from_arrays([*batch.columns, score], [*plain, "score"])
+
+    made = frames.scan(docs.toDF(*plain), kernel, f"{kinds}, score double")
+    return made.select(*[F.col(p).alias(n) for p, n in zip(plain, docs.columns, strict=True) if n != "score"], "score")
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; the model is fitted on labelled rows outside the held-out fold."""
     scored = score(docs, train(docs, labels))
