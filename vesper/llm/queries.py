@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, toxicity
+from . import chat, frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, suffix_dedup, toxicity
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None
     return packing.pack(frames.table(spark, sf_dir, "documents"), tokenizer or public_tokenizer("byte_bpe_50k.json"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(frames.table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def public_tokenizer(name: str) -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op6_mixing_sources, op7_best_fit_packing, op9_toxicity, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op6_mixing_sources, op7_best_fit_packing, op8_suffix_array_dedup, op9_toxicity, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
