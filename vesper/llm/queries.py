@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, suffix_dedup, toxicity
+from . import bm25, chat, frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, suffix_dedup, toxicity
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -28,6 +28,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(frames.table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose doc_id is divisible by 50, as a query against all rows."""
+    docs = frames.table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(frames.table(spark, sf_dir, "documents"))
 
@@ -56,7 +62,7 @@ def public_tokenizer(name: str) -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op6_mixing_sources, op7_best_fit_packing, op8_suffix_array_dedup, op9_toxicity, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op5_topk_search, op6_mixing_sources, op7_best_fit_packing, op8_suffix_array_dedup, op9_toxicity, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
