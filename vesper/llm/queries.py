@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, chat, frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, suffix_dedup, toxicity
+from . import bm25, chat, frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, sqltext, suffix_dedup, toxicity
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -66,4 +66,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE, "op6_mixing_sources": mixing.ORACLE, "op10_substring_dedup": line_dedup.ORACLE}
+    return {
+        "op1_chat_formatting": chat.ORACLE,
+        "op2_quality_rules": sqltext.QUALITY_RULES,
+        "op4_ngram_jaccard_join": sqltext.jaccard_components(4, 85),
+        "op6_mixing_sources": mixing.ORACLE,
+        "op8_suffix_array_dedup": sqltext.SUFFIX_DEDUP,
+        "op10_substring_dedup": line_dedup.ORACLE,
+    }
