@@ -34,7 +34,7 @@ def test_stages_by_brute_force(spark):
     assert rows(second.select("doc_id")) == sorted(((d,) for d, n, c in components(ids, 5, 80) if n == 0 or d == c), key=str)
 
     third = P.repeated_lines(spark, second, SF)
-    want = [(d, t) for d, t, _ in left([tuple(r) for r in second.select("doc_id", "text").collect()], 10)]
+    want = [(d, t) for d, t, _ in left([tuple(r) for r in second.select("doc_id", "text").collect()], 4)]
     assert rows(third.select("doc_id", "text")) == sorted(want, key=str) and rows(third.where("n_chars <> length(text)")) == []
 
     fourth = P.mixed(spark, third, SF)
