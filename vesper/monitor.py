@@ -54,6 +54,20 @@ class Variables:
     __repr__ = __str__
 
 
+# Time suffixes in seconds.
+UNITS = {"ns": 1e-9, "us": 1e-6, "ms": 1e-3, "s": 1.0}
+
+
+def step(signal: str, value: float, at: float | str) -> tuple[str, float, float]:
+    """A sample for Monitor.update; times are seconds or texts such as "10ms"."""
+    if isinstance(at, str):
+        unit = next((u for u in ("ns", "us", "ms", "s") if at.endswith(u)), None)
+        if unit is None:
+            raise ValueError(f"Unknown time unit in '{at}'")
+        at = float(at.removesuffix(unit)) * UNITS[unit]
+    return signal, float(value), float(at)
+
+
 @dataclass
 class SyncStep:
     """A sample as the evaluator saw it, and the verdicts that it brought."""
@@ -244,4 +258,4 @@ class Monitor:
     __repr__ = __str__
 
 
-__all__ = ["EAGER", "QUALITATIVE", "QUANTITATIVE", "ROSI", "Monitor", "MonitorOutput", "Variables"]
+__all__ = ["EAGER", "QUALITATIVE", "QUANTITATIVE", "ROSI", "Monitor", "MonitorOutput", "Variables", "step"]
