@@ -1,39 +1,45 @@
-"""Exact token ids at the speed of dictionary look-ups.
+"""Exact ids of a byte-level tokenizers file, at the speed of a plain merge loop.
 
-The tokenizer of a tokenizers file first cuts a text before words that a single space leads, so the stretches between
-single spaces have ids of their own wherever they stand. Each distinct stretch is encoded once by the tokenizer and
-then looked up. This holds for byte-level pre-tokenizers that bind one leading space to what follows; texts
-with two spaces in a row, or white space beyond ASCII, go to the tokenizer whole.
+Texts of plain letters and signs (below U+0250) are encoded by tiktoken over the file's own merges and cuts, several
+times as fast as the tokenizer; texts with others, with control characters or white space beyond ASCII, or with what may be a special
+token, go to the tokenizer itself, and so does everything if the file's merges or pre-tokenizer aren't of that kind.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 
-import numpy as np
+#: What the two libraries might not cut alike.
+BEYOND = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]|<\\|")
+# Fixed value: how the byte-level pre-tokenizer cuts.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: White space that isn't a single space, \t, \n or \r: such texts are encoded whole.
-UNSAFE = re.compile("  | [^\\S ]|[^\\S \t\n\r]|[​﻿]")
 
+def shown_bytes() -> dict[str, int]:
+    """The signs that byte-level vocabularies write bytes as: printable ones as themselves, others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-class Stretches(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of stretches with a leading space; cleared when it has ``most``."""
 
-    def __init__(self, tokenizer, most: int = 300_000):
-        super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+def merge_encoding(path: str):
+    """A tiktoken encoding of the file's merges, or None if it isn't a plain byte-level file with ids in order of merging."""
+    import tiktoken
 
-    def __missing__(self, stretch: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = packed(self.tokenizer, " " + stretch)
-        if len(stretch) < 64:
-            self[stretch] = ids
-        return ids
-
-
-def packed(tokenizer, text: str) -> bytes:
-    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    cutter, model = said.get("pre_tokenizer") or {}, said["model"]
+    if said.get("normalizer") or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) or model.get("type", "BPE") != "BPE":
+        return None
+    signs, vocabulary = shown_bytes(), model["vocab"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = [vocabulary.get(a + b) for a, b in merges]
+    if None in ids or ids != sorted(ids) or any(s not in vocabulary or vocabulary[s] >= ids[0] for s in signs):
+        return None
+    ranks = {bytes([b]): vocabulary[s] for s, b in signs.items()} | {bytes(signs[c] for c in a + b): i for (a, b), i in zip(merges, ids, strict=True)}
+    return tiktoken.Encoding("file", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
@@ -41,16 +47,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Stretches(self.tokenizer)
+        self.fast = merge_encoding(path)
 
     def encode(self, text: str) -> bytes:
         """The ids of the text as little-endian unsigned 32-bit bytes."""
         if not text:
             return b""
-        if UNSAFE.search(text):
-            return packed(self.tokenizer, text)
-        head, *rest = text.split(" ")
-        return (packed(self.tokenizer, head) if head else b"") + b"".join(map(self.known.__getitem__, rest))
+        plain = self.fast is not None and not BEYOND.search(text)
+        return array("I", self.fast.encode_ordinary(text) if plain else self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
