@@ -26,7 +26,7 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends there, so a lost executor costs no rerun."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vesper-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ Only strings that can be repeated are sorted, and equal strings always meet:
    2**POSITIONS bits however large the corpus is, and only selects: a chance hit costs work, never a result;
 2. a second scan cuts the stretches of text with such anchors into chunks at content-defined places. Of equal
    chunks the earliest document's stays, and all later documents' are removed outright;
-3. chunks that stay are split by anchor. The strings of one anchor form a group of suffixes, cut off after LENGTH bytes,
+3. chunks that stay are split by anchor, where another such chunk has it too (by a like table). The strings of one anchor form a group of suffixes, cut off after LENGTH bytes,
    which deep-shallow sorting orders: multikey quicksort over symbols of eight bytes to SHALLOW
    symbols, then blind tries: of what is still equal, only symbols on which a group branches are compared. Strings
    that stay equal to the end are one; their earliest document keeps them;
@@ -36,13 +36,16 @@ from . import frames, text
 
 LENGTH, GRAM = 50, 28
 SPREAD = LENGTH - GRAM + 1
-POSITIONS, BUCKET = 29, 19
+#: Bits of the places in the documents' table and in the chunks'; places of a bucket.
+POSITIONS, CHUNK_POSITIONS, BUCKET = 29, 27, 19
 PLACE_BITS = 28
 SYMBOLS = (0, 8, 16, 24, 32, 40, LENGTH - 8)
 SHALLOW = 3
 #: Super-windows in a chunk: a cut wherever an anchor's low bits are zero, and at most so many.
-CUT_MASK, CHUNK_MOST = np.uint64(7), 64
+CUT_MASK, CHUNK_MOST = np.uint64(15), 64
 SORT_BYTES = 1 << 20
+#: Bytes of text whose anchors' places are written down together.
+TAKEN_BYTES = 8 << 20
 LAST = (1 << 63) - 1
 
 
@@ -76,8 +79,8 @@ def anchored(data: np.ndarray, offs: np.ndarray):
     return owner[at], start[at], np.diff(np.append(at, start.size)), grams[place[at]]
 
 
-def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    top = np.uint64(64 - POSITIONS)
+def places(keys: np.ndarray, positions: int) -> tuple[np.ndarray, np.ndarray]:
+    top = np.uint64(64 - positions)
     return (keys >> top).astype(np.int64), (text.mix(keys ^ np.uint64(0xA0761D6478BD642F)) >> top).astype(np.int64)
 
 
@@ -96,30 +99,55 @@ def numbers(raw: bytes) -> np.ndarray:
     return (np.cumsum(steps + real) - 1)[real]
 
 
-def _taken(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """For each bucket of places: those that the batch's documents take, and those that several do."""
-    data, offs = text.of_column(batch.column("text"))
-    keys, docs = [], []
-    for a, _, d, o in text.slices(data, offs):
-        owner, _, _, key = anchored(d, o)
-        keys.append(key)
-        docs.append(owner + a)
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    if not key.size:
-        return None
-    rows: list[tuple[int, bytes, bytes]] = []
-    both = [np.concatenate(x) for x in (places(key), (doc, doc))]
-    order = np.argsort(both[0], kind="stable")
-    place, doc = both[0][order], both[1][order]
-    first = np.ones(place.size, bool)
-    first[1:] = place[1:] != place[:-1]
-    many = np.zeros(place.size, bool)
-    many[1:] = ~first[1:] & (doc[1:] != doc[:-1])
-    once, twice = place[first], np.unique(place[many])
-    for b in np.unique(once >> BUCKET):
-        part = [x[np.searchsorted(x, b << BUCKET) : np.searchsorted(x, (b + 1) << BUCKET)] - (b << BUCKET) for x in (once, twice)]
-        rows.append((int(b), gaps(part[0]), gaps(part[1])))
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "once", "twice"])
+def hits(bits: np.ndarray, keys: np.ndarray, positions: int) -> np.ndarray:
+    """Which keys have both of their places set."""
+    one, two = places(keys, positions)
+    return ((bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def of_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]
+
+
+def _taken(positions: int):
+    """For each bucket of places: those that the texts (or chunks) of a batch take, and those that several take."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            data, offs = of_binary(column) if pa.types.is_binary(column.type) else text.of_column(column)
+            for _, _, large, bounds in text.slices(data, offs, TAKEN_BYTES):
+                parts = [(key, owner + a) for a, _, d, o in text.slices(large, bounds) for owner, _, _, key in [anchored(d, o)]]
+                key, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+                if not key.size:
+                    continue
+                place, doc = np.concatenate(places(key, positions)), np.concatenate([doc, doc])
+                order = np.argsort(place, kind="stable")
+                place, doc = place[order], doc[order]
+                first = np.ones(place.size, bool)
+                first[1:] = place[1:] != place[:-1]
+                many = np.zeros(place.size, bool)
+                many[1:] = ~first[1:] & (doc[1:] != doc[:-1])
+                once, twice = place[first], np.unique(place[many])
+                rows = []
+                for b in np.unique(once >> BUCKET):
+                    part = [x[np.searchsorted(x, b << BUCKET) : np.searchsorted(x, (b + 1) << BUCKET)] - (b << BUCKET) for x in (once, twice)]
+                    rows.append((int(b), gaps(part[0]), gaps(part[1])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "once", "twice"])
+
+    return run
+
+
+def _shared(rows: DataFrame, positions: int):
+    """A broadcast table of the places that several texts of the one column of rows take."""
+    taken = rows.mapInArrow(_taken(positions), "bucket long, once binary, twice binary")
+    table = taken.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "bucket long, bits binary")
+    bits = np.zeros(1 << (positions - 3), dtype=np.uint8)
+    for b, part in table.toLocalIterator():  # 2**positions bits in all, some buckets at a time
+        bits[b << (BUCKET - 3) : (b + 1) << (BUCKET - 3)] = np.frombuffer(part, dtype=np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(bits)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +178,7 @@ def _chunks(shared):
         rows: list[tuple] = []
         for a, _, d, o in text.slices(data, offs):
             owner, start, count, key = anchored(d, o)
-            one, two = places(key)
-            hit = ((bits[one >> 3] >> (one & 7).astype(np.uint8)) & (bits[two >> 3] >> (two & 7).astype(np.uint8)) & 1).astype(bool)
+            hit = hits(bits, key, POSITIONS)
             at = np.flatnonzero(hit)
             if not at.size:
                 continue
@@ -178,20 +205,25 @@ def _chunks(shared):
     return kernel
 
 
-def _split(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Chunks as the runs of strings of one anchor."""
-    said = batch.column("said").cast(pa.large_binary())
-    offs = np.frombuffer(said.buffers()[1], dtype=np.int64)[said.offset : said.offset + len(said) + 1]
-    data, offs = np.frombuffer(said.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]
-    parts = []
-    for a, _, d, o in text.slices(data, offs):
-        owner, start, count, key = anchored(d, o)
-        raw = d.tobytes()
-        bodies = [raw[s : s + c + LENGTH - 1] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
-        rows = pa.array(owner + a)
-        begin = batch.column("start").to_numpy()[owner + a] + start - o[owner]
-        parts.append(pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("_at").take(rows), batch.column("_as").take(rows), pa.array(begin), pa.array(bodies, pa.binary())], ["key", "_at", "_as", "start", "said"]))
-    return pa.concat_batches(parts)
+def _split(shared):
+    """Chunks as the runs of strings of one anchor, where other chunks have it too."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = shared.value
+        data, offs = of_binary(batch.column("said"))
+        parts = []
+        for a, _, d, o in text.slices(data, offs):
+            owner, start, count, key = anchored(d, o)
+            hit = hits(bits, key, CHUNK_POSITIONS)
+            owner, start, count, key = owner[hit], start[hit], count[hit], key[hit]
+            raw = d.tobytes()
+            bodies = [raw[s : s + c + LENGTH - 1] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
+            rows = pa.array(owner + a)
+            begin = batch.column("start").to_numpy()[owner + a] + start - o[owner]
+            parts.append(pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("_at").take(rows), batch.column("_as").take(rows), pa.array(begin), pa.array(bodies, pa.binary())], ["key", "_at", "_as", "start", "said"]))
+        return pa.concat_batches(parts)
+
+    return kernel
 
 
 def symbols(data: np.ndarray) -> np.ndarray:
@@ -316,22 +348,15 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (array of start, end; these may overlap) of each row of docs."""
-    spark = docs.sparkSession
     rows = frames.doc_columns(docs, "doc_id", "text").withColumns({"_at": F.coalesce("doc_id", F.lit(LAST)), "_as": F.xxhash64("text")})
-    taken = frames.scan(rows.select("text"), _taken, "bucket long, once binary, twice binary")
-    table = taken.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_summed, "bucket long, bits binary")
-    bits = np.zeros(1 << (POSITIONS - 3), dtype=np.uint8)
-    for b, part in table.toLocalIterator():  # 2**POSITIONS bits in all, some buckets at a time
-        bits[b << (BUCKET - 3) : (b + 1) << (BUCKET - 3)] = np.frombuffer(part, dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
-    del bits
-
+    shared = _shared(rows.select("text"), POSITIONS)
     chunks = frames.keep(frames.scan(rows.select("text", "_at", "_as"), _chunks(shared), "c1 long, c2 long, _at long, _as long, start long, said binary"), "chunks")
     least = chunks.groupBy("c1", "c2").agg(F.min("_at").alias("least"))
     ranked = frames.keep(chunks.join(least, ["c1", "c2"]).select("_at", "_as", "start", "least", F.octet_length("said").cast("long").alias("size"), F.when(F.col("_at") == F.col("least"), F.col("said")).alias("said")), "ranked")
     outright = ranked.where("_at > least").select("_at", "_as", "start", (F.col("start") + F.col("size")).alias("end"))
     first = ranked.where("_at = least").select("_at", "_as", "start", "said")
-    split = frames.scan(first, _split, "key long, _at long, _as long, start long, said binary")
+    shared.unpersist()
+    split = frames.scan(first, _split(_shared(first.select("said"), CHUNK_POSITIONS)), "key long, _at long, _as long, start long, said binary")
     sorted_ = split.repartition("key").sortWithinPartitions("key").mapInArrow(_ordered, "_at long, _as long, start long, end long")
     spans = outright.union(sorted_).groupBy("_at", "_as").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = rows.join(spans, ["_at", "_as"], "left").select("doc_id", "text", "spans")
