@@ -94,3 +94,32 @@ def test_ids_and_empty_table(spark):
     rows = packing.pack(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), PATH, capacity=2, with_ids=True).collect()
     assert sorted((r.piece, len(r.ids)) for r in rows) == [(0, 2), (1, 2)]
     assert packing.pack(hard.empty(spark), PATH).collect() == []
+
+
+def test_bins_of_more_than_four_pieces():
+    rng = np.random.default_rng(4)
+    for low, high, each in ((190, 215, 5), (150, 185, 6)):
+        counts = np.bincount(rng.integers(low, high + 1, 20_000), minlength=1025)
+        runs = packing.bin_completion(counts, 1024)
+        check_runs(runs, counts, 1024)
+        assert sum(n for n, _ in runs) == -(-20_000 // each) == packing.lower_bound(counts, 1024)
+
+
+def test_search_finds_the_optimum_with_many_pieces_a_bin():
+    rnd = random.Random(5)
+    for _ in range(60):
+        sizes = [rnd.randint(3, 8) for _ in range(rnd.randint(8, 13))]
+        counts = np.bincount(sizes, minlength=31)
+        runs = packing.bin_completion(counts, 30)
+        check_runs(runs, counts, 30)
+        assert packing.lower_bound(counts, 30) <= sum(n for n, _ in runs) == optimum(sizes, 30)
+
+
+def test_fillings_are_all_undominated_ones():
+    left = np.bincount([12, 7, 7, 5, 4, 4, 3], minlength=31)
+    got = [f for f in packing.fillings(left, 12, 30) if f]
+    assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+    pieces, all_ = [7, 7, 5, 4, 4, 3], set()
+    for n in range(1, 7):
+        all_ |= {f for f in itertools.combinations(pieces, n) if sum(f) <= 18}
+    assert set(got) <= all_ and all(any(packing.dominated(f, g) for g in got) for f in all_)

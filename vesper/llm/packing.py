@@ -4,12 +4,13 @@ Documents become token ids and an end id; those longer than a sequence are cut i
 piece being what is over. Lengths are then all that packing needs: the counts of the 1..capacity lengths, a table
 whose size doesn't depend on the input, are summed by Spark and packed on the driver:
 
-* bins are filled around the longest piece left. Its fillings (up to three further pieces) are enumerated, fullest
-  first, without those that another dominates (its pieces can take the other's, group by group);
-* a filling is used as often as the counts allow, so equal bins cost one step;
-* best-fit decreasing gives the first incumbent; branches whose waste exceeds what the incumbent, less one bin, allows
-  are pruned; a completed branch with fewer bins becomes the incumbent. The search ends at the lower bound
-  (tokens over capacity, rounded up, or the pieces over half of it) or after MAX_NODES steps, with the best found.
+* bins are filled around the longest piece left. All its fillings, of any number of pieces, are enumerated one at a time, fullest
+  first, without those that another piece still fits into or that another dominates (its pieces can take the other's, group by group);
+* a filling is used as often as the counts allow, so equal bins cost one step, and then, on the way back, less often;
+* best-fit decreasing gives the first incumbent; branches whose waste or lower bound exceeds what the incumbent, less one bin,
+  allows are pruned, first with NARROW fillings a step for half of the steps, then with all; a completed branch with fewer bins becomes the incumbent. The search ends when all is tried, at the lower bound
+  (tokens over capacity, or for any k the pieces over 1/(k+1) of it, of which a bin holds k, rounded up) or after
+  MAX_NODES steps, with the best found.
 
 The plan (runs of equal bins, a few rows for each length) is what tasks get; each piece finds its place by its
 running number among pieces of its length, from counts by task and length. No piece is moved for that.
@@ -20,7 +21,9 @@ are packed row by row; an empty table gives an empty table; further columns are
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +36,12 @@ from pyspark.sql.window import Window
 
 from . import frames, tokens
 
-#: Steps of the search on the driver; each makes a run of equal bins.
+#: Steps of the search on the driver; each looks at a filling for a run of equal bins.
 MAX_NODES = 20_000
-#: Fillings tried at a step.
-WIDTH = 6
+#: Fillings are held against so many others, if of so many pieces at most. More would only prune more.
+COMPARED, FEW = 32, 8
+#: Fillings at a step of the first search; the second tries all.
+NARROW = 6
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -81,43 +86,75 @@ def dominated(small: tuple[int, ...], large: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(left: np.ndarray, first: int, capacity: int, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Undominated ways to fill a bin that holds ``first``, fullest first; ``left`` still counts it."""
+def fillings(left: np.ndarray, first: int, capacity: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated ways to fill a bin that holds ``first``, fullest first; None for one that is passed over. ``left`` still counts first."""
     room = capacity - first
-    have = left.copy()
-    have[first] -= 1
-    at_most = np.maximum.accumulate(np.where(have > 0, np.arange(have.size), 0))  # the longest piece up to a length
-    found: list[tuple[int, ...]] = []
-    if single := int(at_most[room]):
-        found.append((single,))
-    longs = np.flatnonzero(have[: room + 1])[::-1]
-    # Pairs: for each longer piece the best second one; then triples on the longest of them.
-    second = at_most[np.minimum(room - longs, longs)]
-    same = (second == longs) & (have[longs] < 2)
-    second = np.where(same, at_most[np.maximum(longs - 1, 0)], second)
-    fill = np.where(second > 0, longs + second, 0)
-    for i in np.argsort(-fill, kind="stable")[: 2 * width]:
-        if second[i]:
-            found.append((int(longs[i]), int(second[i])))
-    for i in np.argsort(-fill, kind="stable")[:width]:
-        if second[i] and longs[i] < room:
-            rest = room - int(longs[i])
-            for mid in np.flatnonzero(have[: rest + 1])[::-1][:8]:
-                third = int(at_most[min(rest - int(mid), int(mid))])
-                trio = (int(longs[i]), int(mid), third)
-                if third and all(have[x] >= trio.count(x) for x in trio):
-                    found.append(trio)
-    unique = sorted(set(found), key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))[: 4 * width]
+    have = left[: room + 1].copy()
+    if first <= room:
+        have[first] -= 1
+    sizes = np.flatnonzero(have).tolist()
+    if not sizes or have[room]:  # a piece of just the room dominates all
+        yield (room,) if sizes else ()
+        return
+    most = [min(int(have[x]), room // x) for x in sizes]
+    # Bit s of reach[i]: the first i lengths can make the sum s.
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for x, n in zip(sizes, most, strict=True):
+        sums, part = reach[-1], 1
+        while n:
+            part = min(part, n)
+            sums |= sums << part * x & mask
+            n, part = n - part, 2 * part
+        reach.append(sums)
+
+    def making(total: int, i: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        """(length, times) of each choice among the first i lengths with that sum, longest pieces first."""
+        if not total:
+            yield ()
+            return
+        for j in range(min(i, bisect_right(sizes, total)) - 1, -1, -1):
+            if not reach[j + 1] >> total & 1:
+                return
+            for n in range(min(most[j], total // sizes[j]), 0, -1):
+                if reach[j] >> (total - n * sizes[j]) & 1:
+                    for more in making(total - n * sizes[j], j):
+                        yield ((sizes[j], n), *more)
+
     kept: list[tuple[int, ...]] = []
-    for f in unique:
-        if not any(dominated(f, g) for g in kept):
-            kept.append(f)
-    return kept[:width] or [()]
+    for total in range(room, 0, -1):
+        if not reach[-1] >> total & 1:
+            continue
+        for choice in making(total, len(sizes)):
+            taken = dict(choice)
+            if any(have[x] > taken.get(x, 0) for x in itertools.takewhile(lambda x: x <= room - total, sizes)):
+                yield None
+                continue
+            f = tuple(x for x, n in choice for _ in range(n))
+            if len(f) <= FEW:
+                if any(dominated(f, g) for g in kept):
+                    yield None
+                    continue
+                if len(kept) < COMPARED:
+                    kept.append(f)
+            yield f
+
+
+def branches(left: np.ndarray, capacity: int, less: bool) -> Iterator[tuple[int, tuple[int, ...]] | None]:
+    """Steps (bins, lengths) around the longest piece left: each filling as often as it goes, or each less often."""
+    top = int(np.flatnonzero(left)[-1])
+    for f in fillings(left, top, capacity):
+        if f is None:
+            yield None
+        else:
+            often = take(left.copy(), (top, *f))
+            for times in range(often - 1, 0, -1) if less else (often,):
+                yield times, (top, *f)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    sizes = np.arange(counts.size)
-    return max(-(-int((counts * sizes).sum()) // capacity), int(counts[sizes * 2 > capacity].sum()))
+    k = np.arange(1, capacity + 1)
+    longer = np.cumsum(counts[::-1])[::-1][capacity // (k + 1) + 1]  # a bin holds k pieces of over capacity / (k + 1)
+    return max(-(-int((counts * np.arange(counts.size)).sum()) // capacity), int((-(-longer // k)).max()))
 
 
 def bin_completion(counts: np.ndarray, capacity: int, max_nodes: int = MAX_NODES) -> list[tuple[int, tuple[int, ...]]]:
@@ -127,44 +164,45 @@ def bin_completion(counts: np.ndarray, capacity: int, max_nodes: int = MAX_NODES
     incumbent = best_fit(counts, capacity)
     bins, least = sum(n for n, _ in incumbent), lower_bound(counts, capacity)
     nodes = 0
-    # A stack of (counts, runs so far as a linked list, bins, waste) in depth-first order.
-    stack = [(counts, None, 0, 0)]
-    while stack and bins > least and nodes < max_nodes:
-        left, runs, used, waste = stack.pop()
-        tops = np.flatnonzero(left)
-        if not tops.size:
-            if used < bins:
-                bins, incumbent = used, []
-                while runs:
-                    runs, run = runs
-                    incumbent.append(run)
-            continue
-        if waste > (bins - 1) * capacity - total:
-            continue
-        nodes += 1
-        top = int(tops[-1])
-        after = []
-        for f in fillings(left, top, capacity):
+
+    def tried(left: np.ndarray, narrow: bool) -> list[Iterator]:
+        if narrow:
+            return [itertools.islice(filter(None, itertools.islice(branches(left, capacity, False), 4 * NARROW)), NARROW)]
+        return [branches(left, capacity, less) for less in (True, False)]
+
+    # A narrow search climbs back further; the second, of all branches, has the rest of the steps.
+    for narrow, end in ((True, max_nodes // 2), (False, max_nodes)):
+        # Depth first: what is left, the runs so far as a linked list, their bins, their waste, and the steps yet to try.
+        stack = [(counts, None, 0, 0, steps) for steps in tried(counts, narrow)] if total else []
+        while stack and bins > least and nodes < end:
+            left, runs, used, waste, steps = stack[-1]
+            nodes += 1
+            if (step := next(steps, ())) is None:
+                continue
+            most = (bins - 1) * capacity - total - waste
+            if not step or capacity - sum(step[1]) > most:  # later steps waste no less
+                stack.pop()
+                continue
+            times, lengths = step
+            lost = times * (capacity - sum(lengths))
+            if lost > most:
+                continue
             now = left.copy()
-            times = take(now, (top, *f))
-            lost = waste + times * (capacity - top - sum(f))
-            if lost <= (bins - 1) * capacity - total:
-                after.append((now, (runs, (times, (top, *f))), used + times, lost))
-        # A filling with few pieces leaves most freedom; a small bin at the end may hold more than four.
-        if sum(left) <= 24:
-            tail = best_fit(left, capacity)
-            if used + sum(n for n, _ in tail) < bins:
-                after.append((np.zeros_like(left), _chained(runs, tail), used + sum(n for n, _ in tail), waste))
-        stack.extend(reversed(after))
+            for x in lengths:
+                now[x] -= times
+            if used + times + lower_bound(now, capacity) >= bins:
+                continue
+            after = (runs, step)
+            if now.any():
+                stack += [(now, after, used + times, waste + lost, steps) for steps in tried(now, narrow)]
+            else:
+                bins, incumbent = used + times, []
+                while after:
+                    after, run = after
+                    incumbent.append(run)
     return incumbent
 
 
-def _chained(runs, more):
-    for run in more:
-        runs = (runs, run)
-    return runs
-
-
 def layout(runs: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
     """Rows (length, first number, bins, first bin, offset): where the pieces of a length go, by their running number."""
     used: dict[int, int] = {}
