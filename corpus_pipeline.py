@@ -25,13 +25,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five-word shingles, 0.8) the document of least doc_id; without shingles, all."""
-    classes = jaccard.join(docs, k=5, percent=80)
-    # Repeated doc_ids make repeated rows on both sides: each is named once.
-    kept = classes.where((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull())
-    kept = kept.select(F.coalesce("doc_id", F.lit(jaccard.NOBODY)).alias("_at")).distinct()
-    named = docs.select(*COLUMNS).withColumn("_at", F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard.NOBODY)))
-    return named.join(kept, "_at", "left_semi").select(*COLUMNS)
+    """Of each component of near duplicates (five-word shingles, 0.8) the document of least doc_id; without shingles, all.
+
+    Documents are told apart by doc_id and text: rows equal in both are one document and all stay, unless without a
+    doc_id, when one row stays. Of a component's texts with one doc_id one stays.
+    """
+    named = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    classes = jaccard.join(named.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80)
+    classes = classes.select(F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("_of")).distinct()
+    ids = named.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit(line_dedup.LAST)).alias("_at")).distinct()
+    least = classes.join(ids, "_row").groupBy("_of").agg(F.min(F.struct("_at", "_row")).alias("least"))
+    kept = frames.keep(least.select(F.col("least._row").alias("_row")), "kept")
+    stay = named.join(kept, "_row", "left_semi")
+    alone = stay.where("doc_id is null").groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return stay.where("doc_id is not null").select(*COLUMNS).union(alone.select(*COLUMNS))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,11 @@ def test_one_of_each_group_stays(spark):
     texts = dict(docs.select("doc_id", "text").collect())
     assert {2, 3, 4} <= set(kept) and 8 not in kept and 11 not in kept and kept.count(1) == 2  # repeated rows are one document
     assert all(re.search(r"[^\s]", texts[d] or "") is None or d in (None, 1, 5, 6, 7, 9, 10, 12, 13, 14) for d in kept) and jaccard.NOBODY not in kept
+
+
+def test_copies_without_or_with_the_same_doc_id(spark):
+    said = [f"number {i} of the texts has words of its own {i * 7} and {i * 13} more of them {i}" for i in range(6)]
+    table = [(None, said[0]), (None, said[0]), (None, said[0].upper()), (None, said[1]), (1, said[1]), (2, said[2]), (3, said[3]), (3, said[2]), (4, said[4]), (4, said[4] + " "), (None, said[5]), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in table], hard.SCHEMA)
+    got = [(r.doc_id, (r.text or "").strip().lower()) for r in P.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, said[0]), (1, said[1]), (2, said[2]), (3, said[3]), (4, said[4]), (None, said[5]), (5, ""), (6, "")], key=str)
