@@ -45,3 +45,12 @@ def test_hard_rows(spark):
     none = labels.where("false")
     assert {r.score for r in quality_model.judge(docs, none).collect()} == {0.5}
     assert quality_model.judge(hard.empty(spark), labels).collect() == []
+
+
+def test_long_texts_fill_what_the_budget_has_left(spark):
+    said = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate((20, 30, 400, 500, 9000))]
+    said.append(said[2] + " and its near copy")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(said)] + [(9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (0, 1, 2, 3, 4, 5, 9)], "doc_id long, quality int")
+    sample = labelled.draw(docs, labels, "quality", 5, -1, 30, 10_000)
+    assert len(said[2]) > 100 and sorted(sample.texts) == sorted(said[:4])

@@ -42,21 +42,37 @@ def draw(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, pe
     picked = [rows.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     picked = picked[0].union(picked[1])  # 2 * per_class rows at most
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    # Longest texts are left to the end of the budget.
-    got = sorted(found.where(F.octet_length("text") <= max_bytes // 100).collect(), key=lambda r: (r.h, r.doc_id, r.text or ""))
+    # Longest texts are left to the end of the budget: they come without their text first, then by length as far as they fit.
+    found = found.where("text is not null").withColumn("size", F.octet_length("text"))
+    got = found.withColumn("text", F.when(F.col("size") <= max_bytes // 100, F.col("text"))).collect()
     texts, ys, seen, size = [], [], set(), 0
-    for r in got:
-        raw = pa.array([r.text], pa.string())
-        data, offs = text.of_column(raw)
-        starts, ends, first = text.word_spans(data, offs)
-        grams, _ = text.windows(text.hash_spans(data, starts, ends), first, 5, short=True)
-        marks = {(i, int(text.mix(grams ^ np.uint64(i * 0x9E3779B9)).min())) for i in range(4)} if grams.size else {(-1, 0)}
-        if marks & seen or size + data.size > max_bytes:
-            continue
-        seen |= marks
-        size += data.size
-        texts.append(r.text or "")
-        ys.append(r.y)
+
+    def learn(rows) -> None:
+        nonlocal size
+        for r in rows:
+            raw = pa.array([r.text], pa.string())
+            data, offs = text.of_column(raw)
+            if size + data.size > max_bytes:
+                continue
+            starts, ends, first = text.word_spans(data, offs)
+            grams, _ = text.windows(text.hash_spans(data, starts, ends), first, 5, short=True)
+            marks = {(i, int(text.mix(grams ^ np.uint64(i * 0x9E3779B9)).min())) for i in range(4)} if grams.size else {(-1, 0)}
+            if marks & seen:
+                continue
+            seen.update(marks)
+            size += data.size
+            texts.append(r.text or "")
+            ys.append(r.y)
+
+    learn(sorted((r for r in got if r.size <= max_bytes // 100), key=lambda r: (r.h, r.doc_id, r.text or "")))
+    long = sorted(r.size for r in got if r.size > max_bytes // 100)
+    while long:  # again if copies left room
+        fit = int(np.searchsorted(np.cumsum(long), max_bytes - size, side="right"))
+        if not fit:
+            break
+        rows = found.where(F.col("size").between(long[0], long[fit - 1])).collect()
+        learn(sorted(rows, key=lambda r: (r.size, r.h, r.doc_id, r.text)))
+        long = [n for n in long if n > long[fit - 1]]
     y = np.array(ys, dtype=np.int64)
     count = np.bincount(y, minlength=2)
     each = np.array([sizes.get(c, 0) / max(1, count[c]) for c in (0, 1)])
