@@ -30,3 +30,9 @@ def test_query_as_sql(spark, duck, name):
     names = [c[0] for c in cursor.description]
     at = sorted(range(len(names)), key=names.__getitem__)
     assert columns == sorted(names) and got == sorted((tuple(r[i] for i in at) for r in cursor.fetchall()), key=str)
+
+
+def test_chirp_catalog_is_whole_and_as_by_definition(spark):
+    got = sorted(map(tuple, registry.chirp_catalog(spark, SF).collect()))
+    assert [r[0] for r in got] == list(range(1, 22)) and all(r[1] > 0 for r in got)
+    assert got == sorted(map(tuple, registry.chirp_catalog(spark, SF, "naive").collect()))
