@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from . import frames, text
 
 LAST = (1 << 63) - 1
-SECOND_BASE = 0xC2B2AE3D27D4EB4F | 1
-SECOND_INVERSE = pow(SECOND_BASE, -1, 1 << 64)
+#: Seed of the second hashes, of words and of units.
+SECOND = 0xC2B2AE3D27D4EB4F
 CONTINUES = (np.arange(256) & 0xC0) == 0x80
 
 
@@ -39,13 +39,9 @@ def units(data: np.ndarray, offs: np.ndarray, min_words: int):
     """Of each sentence of min_words: its text's index, its number among the text's sentences, two digests, start and end in bytes."""
     owner, number, w0, w1, starts, ends, hashes, _ = sentences(data, offs)
     at = np.flatnonzero(w1 - w0 >= min_words)
-
-    def digest(base, inverse):
-        sums = np.zeros(hashes.size + 1, dtype=np.uint64)
-        np.cumsum(hashes * text.powers(base, hashes.size), out=sums[1:])
-        return text.mix((sums[w1[at]] - sums[w0[at]]) * text.powers(inverse, hashes.size + 1)[w0[at]] + (w1 - w0)[at].astype(np.uint64)).view(np.int64)
-
-    return owner[at], number[at], digest(text.BASE, text.INVERSE), digest(SECOND_BASE, SECOND_INVERSE), starts[w0[at]], ends[w1[at] - 1]
+    again = text.hash_spans(text.LOWER[data], starts, ends, SECOND)
+    one, two = (text.hash_runs(h, w0, seed).view(np.int64)[at] for h, seed in ((hashes, 0), (again, SECOND)))
+    return owner[at], number[at], one, two, starts[w0[at]], ends[w1[at] - 1]
 
 
 def sentences(data: np.ndarray, offs: np.ndarray):

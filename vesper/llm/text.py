@@ -71,9 +71,9 @@ def of_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(data: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, past the last, data, offs) of runs of texts with about ``most`` bytes; every text is whole."""
-    at, n = 0, offs.size - 1
+def slices(data: np.ndarray, offs: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, past the last, data, offs) of runs of texts with about ``most`` bytes (SLICE_BYTES); every text is whole."""
+    at, n, most = 0, offs.size - 1, most or SLICE_BYTES
     while at < n:
         end = min(n, max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1))
         yield at, end, data[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
@@ -107,11 +107,53 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, first
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, equal for equal bytes wherever they are, from one prefix sum."""
-    sums = np.zeros(data.size + 1, dtype=U64)
-    np.cumsum(BYTE[data] * powers(BASE, data.size), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(INVERSE, data.size + 1)[starts] + (ends - starts).astype(U64))
+STEP, LENGTH_STEP = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+#: Keeps the first n of a symbol's eight bytes.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
+
+
+def places(n: int, seed: int = 0) -> np.ndarray:
+    """A number for each place 0 .. n - 1 of a sequence, by a seed."""
+    return mix((np.arange(n, dtype=U64) + U64(1)) * STEP + U64(seed))
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte spans, equal for equal bytes wherever they are.
+
+    A span is read as symbols of eight bytes from its start. Each is mixed with its place before they are added up, so
+    no algebra holds between strings, as it does for polynomials modulo 2**64; the length comes in last.
+    """
+    size = ends - starts
+    if not size.size:
+        return np.zeros(0, dtype=U64)
+    padded = np.zeros(data.size + 8, dtype=np.uint8)
+    padded[: data.size] = data
+    wide = np.ndarray((data.size + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    at = places(8, seed)
+    total = mix((wide[starts] & FIRST[np.minimum(size, 8)]) + at[0])
+    for j in range(1, 8):
+        some = np.flatnonzero(size > 8 * j)
+        if not some.size:
+            break
+        total[some] += mix((wide[starts[some] + 8 * j] & FIRST[np.minimum(size[some] - 8 * j, 8)]) + at[j])
+    long = np.flatnonzero(size > 64)
+    if long.size:
+        count = (size[long] - 64 + 7) >> 3
+        first = np.cumsum(count) - count
+        j = np.arange(int(count.sum())) - np.repeat(first, count) + 8
+        begin, left = np.repeat(starts[long], count) + 8 * j, np.repeat(size[long], count) - 8 * j
+        total[long] += np.add.reduceat(mix((wide[begin] & FIRST[np.minimum(left, 8)]) + places(int(j.max()) + 1, seed)[j]), first)
+    return mix(total ^ (size.astype(U64) * LENGTH_STEP))
+
+
+def hash_runs(hashes: np.ndarray, first: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each run of hashes; runs begin at ``first`` (increasing, from 0) and follow each other."""
+    if not first.size:
+        return np.zeros(0, dtype=U64)
+    count = np.diff(np.append(first, hashes.size))
+    j = np.arange(hashes.size) - np.repeat(first, count)
+    total = np.add.reduceat(mix(hashes + places(int(j.max()) + 1, seed)[j]), first)
+    return mix(total ^ (count.astype(U64) * LENGTH_STEP))
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
