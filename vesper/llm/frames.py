@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Where tables that are read twice go if the session names no folder, as in tests; a cluster names a shared one.
+#: Where tables that are read twice go on a single machine whose session names no folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints/vesper"
 
 
@@ -19,15 +20,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder that spark.checkpoint.dir names. Only a session with all executors on this machine may name none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("On a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or FALLBACK_DIR).rstrip("/")
 
 
 def keep(df: DataFrame, what: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lineage ends there, so a lost executor costs no rerun."""
+    """df, written as Parquet to the shared folder and read again: lineage ends there, so a lost executor costs no rerun.
+
+    ``drop`` removes the table once its last reader is done; what a result still reads goes when the session ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vesper-{what}-{uuid.uuid4().hex}"
+    where, system = _located(spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    system.deleteOnExit(where)
+    _release(spark)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.kept_at = path
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes kept tables; nothing may read them any more."""
+    for t in tables:
+        where, system = _located(t.sparkSession, t.kept_at)
+        system.delete(where, True)
+
+
+def _located(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _release(spark: SparkSession) -> None:
+    """Shuffle files of jobs that are done go when the driver collects its garbage; a kept table is a good time for that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def scan(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
