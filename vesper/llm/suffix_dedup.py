@@ -46,7 +46,7 @@ PLACE_BITS = 22
 SYMBOLS = np.array([0, 8, 16, 24, 32, 40, LENGTH - 8])
 SHALLOW = 3
 #: Bytes of text whose runs a task joins at a time; bytes of the corpus to a bucket; rows of a bucket held before they are joined.
-FLUSH_BYTES, BUCKET_BYTES, HELD_ROWS = 32 << 20, 4 << 20, 4_000_000
+FLUSH_BYTES, BUCKET_BYTES, HELD_ROWS = 8 << 20, 4 << 20, 4_000_000
 #: Contents of an anchor from which its strings are dealt one by one.
 CROWDED = 1 << 16
 SORT_BYTES = 1 << 20
