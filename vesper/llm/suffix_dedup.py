@@ -108,7 +108,7 @@ def packed(rows: dict[str, np.ndarray]) -> bytes:
     return b"".join(np.ascontiguousarray(rows[n].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for n, w in WIDTHS.items())
 
 
-def unpacked(raw: bytes) -> dict[str, np.ndarray]:
+def unpacked(raw: bytes | pa.Buffer) -> dict[str, np.ndarray]:
     n, at, out = len(raw) // sum(WIDTHS.values()), 0, {}
     for name, w in WIDTHS.items():
         wide = np.zeros((n, 8), dtype=np.uint8)
@@ -237,12 +237,12 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     joined_at = HELD_ROWS
     for batch in batches:
-        for bucket, gone, block in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for i, (bucket, gone) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             if bucket != now:
                 if held:
                     yield from settle(True)
                 now, joined_at = bucket, HELD_ROWS
-            rows = unpacked(block)
+            rows = unpacked(batch.column(2)[i].as_buffer())
             if gone:
                 yield _spans(rows)
                 continue
@@ -431,43 +431,50 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(pa.Table.from_batches(held))
 
 
-def everywhere(data: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The spans of a text, and like ones wherever the text has their runs again."""
+def everywhere(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of a text wherever the text has their runs."""
     found = runs(data, np.array([0, data.size]))
     key = text.mix(found["key"] ^ (found["digest"] << np.uint64(16)))
     order = np.argsort(key, kind="stable")
-    out = []
-    for a, b in spans:
-        own = int(np.searchsorted(found["start"], a, side="right")) - 1
-        lo, hi = (int(np.searchsorted(key[order], key[own], side=s)) for s in ("left", "right"))
-        shift = found["start"][order[lo:hi]] - found["start"][own]
-        out += [(a + s, b + s) for s in shift.tolist()]
-    return out
+    own = np.searchsorted(found["start"], begin, side="right") - 1
+    lo, hi = (np.searchsorted(key[order], key[own], side=s) for s in ("left", "right"))
+    which = np.repeat(np.arange(own.size), hi - lo)
+    like = order[np.arange(which.size) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]]
+    shift = found["start"][like] - found["start"][own[which]]
+    return begin[which] + shift, end[which] + shift
 
 
 def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     data, offs = text.of_column(batch.column("text"))
-    n_removed, n_spans, digest, cuts = [], [], [], []
-    for i, spans in enumerate(batch.column("spans").to_pylist()):
-        said, stretches = data[offs[i] : offs[i + 1]], []
-        cut = [(s["start"], s["end"]) for s in spans or ()]
-        if again := [(s["start"], s["end"]) for s in spans or () if s["again"]]:
-            cut += everywhere(said, again)
-        for a, b in sorted(cut):
-            if stretches and a <= stretches[-1][1]:
-                stretches[-1][1] = max(stretches[-1][1], b)
-            else:
-                stretches.append([a, b])
-        keep, at = hashlib.sha256(), 0
-        for a, b in [*stretches, [said.size, said.size]]:
-            keep.update(np.ascontiguousarray(said[at:a]))
-            at = b
-        n_removed.append(sum(b - a for a, b in stretches))
-        n_spans.append(len(stretches))
+    listed = batch.column("spans").fill_null([])
+    count = np.diff(listed.offsets.to_numpy())
+    row = np.repeat(np.arange(batch.num_rows), count)
+    begin, end, again = (listed.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    if (some := np.flatnonzero(again)).size:
+        edges = [*heads(row[some]).tolist(), some.size]
+        more = [(row[some[x]], *everywhere(data[offs[row[some[x]]] : offs[row[some[x]] + 1]], begin[some[x:y]], end[some[x:y]])) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        row = np.concatenate([row, *[np.full(x.size, i) for i, x, _ in more]])
+        begin, end = np.concatenate([begin, *[x for _, x, _ in more]]), np.concatenate([end, *[y for _, _, y in more]])
+    # Stretches of all texts at once, with a byte between texts so that they don't touch.
+    order = np.argsort(begin + offs[row] + row)
+    row, begin, end = row[order], begin[order], end[order]
+    shift = offs[row] + row
+    upto = np.maximum.accumulate(end + shift) if row.size else row
+    first = np.flatnonzero(np.r_[True, (begin + shift)[1:] > upto[:-1]]) if row.size else row
+    start, stop, owner = begin[first], np.append(upto[first[1:] - 1], upto[-1:]) - shift[first], row[first]
+    bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+    removed = np.bincount(owner, weights=stop - start, minlength=batch.num_rows).astype(np.int64)
+    digest, raw = [], memoryview(np.ascontiguousarray(data))
+    for i, (lo, hi) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+        keep, at = hashlib.sha256(), lo
+        for k in range(bounds[i], bounds[i + 1]):
+            keep.update(raw[at : lo + start[k]])
+            at = lo + int(stop[k])
+        keep.update(raw[at:hi])
         digest.append(keep.hexdigest())
-        cuts.append([{"start": a, "end": b} for a, b in stretches])
-    made = [pa.array(x, pa.int64()) for x in (np.diff(offs), n_removed, n_spans)]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, pa.array(digest, pa.string()), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+    spans = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], ["start", "end"]))
+    made = [pa.array(np.diff(offs)), pa.array(removed), pa.array(np.diff(bounds)), pa.array(digest, pa.string()), spans]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
