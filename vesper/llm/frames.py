@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,10 +70,22 @@ def scan(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None
         for batch in batches:
             if batch.num_rows and (made := kernel(batch)) is not None:
                 yield made
+            made = batch = None
+            tidy()
 
     return df.mapInArrow(run, schema)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy() -> None:
+    """Gives what a worker has freed back to the system: workers live on between tasks, and an executor's limit counts it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else docs holds; doc_id as long, text as string."""
     kinds = {"doc_id": "long", "text": "string"}

@@ -185,6 +185,8 @@ def _numbers(bits: int):
                     rows.append((int(gone["key"][0]) >> (KEY_BITS - bits), True, packed(gone)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "gone", "block"])
+                found = some = gone = left = rows = both = order = None
+                frames.tidy()
 
     return run
 
@@ -242,6 +244,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     yield from settle(True)
                 now, joined_at = bucket, HELD_ROWS
+                frames.tidy()
             rows = unpacked(batch.column(2)[i].as_buffer())
             if gone:
                 yield _spans(rows)
@@ -425,6 +428,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held and size >= SORT_BYTES and (cut or held[-1].column("part")[-1].as_py() != part[0]):
             yield from settle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
             held, size, batch = [], 0, batch.slice(cut)
+            frames.tidy()
         held.append(batch)
         size += batch.nbytes
     if held:
