@@ -33,13 +33,13 @@ def keep(df: DataFrame, what: str) -> DataFrame:
 
     ``drop`` removes the table once its last reader is done; what a result still reads goes when the session ends.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/vesper-{what}-{uuid.uuid4().hex}"
     where, system = _located(spark, path)
+    release(spark)
     df.write.option("compression", "zstd").parquet(path)
     system.deleteOnExit(where)
-    _release(spark)
-    made = spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(schema).parquet(path)
     made.kept_at = path
     return made
 
@@ -57,8 +57,8 @@ def _located(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _release(spark: SparkSession) -> None:
-    """Shuffle files of jobs that are done go when the driver collects its garbage; a kept table is a good time for that."""
+def release(spark: SparkSession) -> None:
+    """Shuffle files of jobs that are done go when the driver collects its garbage; after a table is kept is a good time for that."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

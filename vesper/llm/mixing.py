@@ -5,9 +5,11 @@ number of copies is the inverse of that Poisson distribution at a uniform number
 doc_id; the document is exploded by it, and copies are shuffled globally: dealt to partitions by a hash of seed,
 doc_id and copy, and sorted by it within each. Built-in functions only.
 
-The distribution of a source is an array of about rate + 12 sqrt(rate) + 20 cumulative probabilities, summed in
-log space so that high rates don't underflow. Sizes are pre-aggregated and kept as a small table; Spark
-broadcasts it only when its files are under spark.sql.autoBroadcastJoinThreshold, and else splits hot sources.
+The distribution of a source is the cumulative probabilities of the counts within 12 standard deviations (and 20) of its
+rate; what lies outside is below 1e-30. They are rows until they are summed, each by itself from Stirling's series in
+deviance form, so that neither high rates underflow nor one source costs more than the root of its rate. A source has a high
+rate only if it has few characters, so its documents are few. Copies are numbered in blocks of BLOCK. Sizes are pre-aggregated and kept
+as a small table; Spark broadcasts it only when its files are under spark.sql.autoBroadcastJoinThreshold, and else splits hot sources.
 
 Defined results: a null source is a source of its own; a source without characters repeats at rate 1; a null
 doc_id is hashed as the word null; repeated rows get equal numbers of copies; an empty table gives an empty table.
@@ -18,9 +20,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import frames
 
+#: Copies of a document that are numbered at a time.
+BLOCK = 1 << 16
 #: 13 hex digits of a digest are 52 bits: they are exact as a double.
 DIGITS, SPAN = 13, float(1 << 52)
 
@@ -31,36 +36,45 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(said.cast("binary")), 1, DIGITS), 16, 10).cast("double") / F.lit(SPAN)
 
 
-def cumulative(rate: Column) -> Column:
-    """P(copies <= k) for k = 0, 1, ..., as an array."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct((-rate).alias("log"), F.array(F.exp(-rate)).alias("sums"))
-
-    def step(acc, k):
-        log = acc["log"] + F.log(rate) - F.log(k.cast("double"))
-        return F.struct(log.alias("log"), F.concat(acc["sums"], F.array(F.element_at(acc["sums"], -1) + F.exp(log))).alias("sums"))
-
-    return F.aggregate(F.sequence(F.lit(1), last), start, step)["sums"]
+def probability(rate: Column, k: Column) -> Column:
+    """The Poisson probability of k at a rate above 0."""
+    x = k.cast("double")
+    few = F.exp(x * F.log(rate) - rate) / F.factorial(F.least(k, F.lit(20)).cast("int")).cast("double")
+    series = F.lit(1 / 12) / x - F.lit(1 / 360) / F.pow(x, 3) + F.lit(1 / 1260) / F.pow(x, 5) - F.lit(1 / 1680) / F.pow(x, 7)
+    many = F.exp(x - rate - x * F.log(x / rate) - series) / F.sqrt(2 * F.pi() * x)
+    return F.when(k <= 20, few).otherwise(many)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, rest: float = 1.0, seed: int = 17) -> DataFrame:
     """docs replicated so that sources' shares of the characters go as their weights (``rest`` for those not named)."""
-    sizes = docs.groupBy(F.col("source").alias("_source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("_size"))
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]  # whatever the columns are called, these and the operator's own don't clash
+    docs = docs.toDF(*plain)
+    doc_id, source, said = (plain[names.index(n)] for n in ("doc_id", "source", "text"))
+
+    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.length(said), F.lit(0)).cast("long")).alias("size"))
     weight = F.lit(float(rest))
     for name, value in (weights or {}).items():
-        weight = F.when(F.col("_source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(weight)
-    sizes = frames.keep(sizes.withColumn("_weight", weight), "sizes")
-    total, all_weights = sizes.agg(F.sum("_size"), F.sum("_weight")).first()
-    rate = F.when(F.col("_size") > 0, F.col("_weight") / F.lit(float(all_weights or 1)) * F.lit(float(total or 0)) / F.col("_size")).otherwise(F.lit(1.0))
-    rates = frames.keep(sizes.withColumn("_rate", rate).select("_source", F.when(F.col("_rate") > 0, cumulative(F.col("_rate"))).otherwise(F.array(F.lit(1.0))).alias("_sums")), "rates")
-
-    docs = docs.drop("copy", "shuffle_key")
-    u = uniform(seed, F.col("doc_id"))
-    counted = docs.join(rates, docs["source"].eqNullSafe(rates["_source"])).withColumn("_u", u)
-    counted = counted.withColumn("_n", F.size(F.filter("_sums", lambda s: s <= F.col("_u")))).drop("_source", "_sums", "_u")
-    copies = counted.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "_n"))).drop("_n")
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary"))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+        weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(weight)
+    sizes = frames.keep(sizes.withColumn("weight", weight), "sizes")
+    total, all_weights = sizes.agg(F.sum("size"), F.sum("weight")).first()
+    rate = F.when(F.col("size") > 0, F.col("weight") / F.lit(float(all_weights or 1)) * F.lit(float(total or 0)) / F.col("size")).otherwise(F.lit(1.0))
+    reach = 12 * F.sqrt("rate") + 20
+    rates = sizes.select("source", rate.alias("rate")).withColumn("low", F.greatest(F.lit(0), F.floor(F.col("rate") - reach)).cast("long"))
+    counts = rates.where("rate > 0").withColumn("k", F.explode(F.sequence("low", F.ceil(F.col("rate") + reach).cast("long"))))
+    upto = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.withColumn("upto", F.sum(probability(F.col("rate"), F.col("k"))).over(upto))
+    # A source of rate 0 has no row here, and so no copies.
+    rates = frames.keep(summed.groupBy("source", "low").agg(F.sort_array(F.collect_list("upto")).alias("sums")), "rates")
+
+    drawn = docs.join(rates, docs[source].eqNullSafe(rates["source"])).withColumn("u", uniform(seed, F.col(doc_id)))
+    drawn = drawn.withColumn("n", F.col("low") + F.size(F.filter("sums", lambda s: s <= F.col("u")))).where("n > 0").select(*plain, "n")
+    blocks = drawn.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("long"))))
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least("n", (F.col("block") + 1) * BLOCK))))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary"))
+    dealt = copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    kept = [F.col(p).alias(n) for p, n in zip(plain, names, strict=True) if n not in ("copy", "shuffle_key")]
+    return dealt.select(*kept, "copy", "shuffle_key")
 
 
 #: The same by DuckDB: all sources at equal weights, seed 17.
@@ -75,6 +89,6 @@ probs as (
 ), counted as (
   select d.doc_id, count(*) as n from drawn d join probs p on d.source is not distinct from p.source and p.upto <= d.u group by d.doc_id
 )
-select d.*, i.copy::int as copy, md5('17:order:' || d.doc_id || ':' || i.copy) as shuffle_key
+select d.*, i.copy as copy, md5('17:order:' || d.doc_id || ':' || i.copy) as shuffle_key
 from documents d join counted c using (doc_id), unnest(range(1, c.n + 1)) as i(copy)
 """

@@ -490,6 +490,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     blocks = rows.select("_at", "_as", "text").mapInArrow(_numbers(bits), "bucket long, gone boolean, block binary")
     found = frames.keep(blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_buckets, FOUND), "runs")
 
+    del blocks
+    frames.release(docs.sparkSession)
     texts = rows.select("_at", "_as", "doc_id", "text").repartition("_at", "_as")
     asks = found.where("key is not null").groupBy("_at", "_as").agg(F.collect_list(F.struct("key", "start", "n", "lead")).alias("asks"))
     bodies = frames.scan(texts.join(asks, ["_at", "_as"]).select("_at", "_as", "doc_id", "text", "asks"), _bodies, BODIES)
