@@ -34,6 +34,7 @@ class Sample:
 def draw(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, per_class: int, max_bytes: int) -> Sample:
     """At most ``per_class`` rows of each label whose fold isn't ``held``, by hash of doc_id, and at most ``max_bytes`` of text.
 
+    No more than four times ``max_bytes`` of text come to the driver at once, and rows of one doc_id and text come once.
     Copies, and near copies that share one of four shingle minima, count once, so that no text is learned by heart.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(remainder(mod) != held)
@@ -42,9 +43,10 @@ def draw(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, pe
     picked = [rows.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     picked = picked[0].union(picked[1])  # 2 * per_class rows at most
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    # Longest texts are left to the end of the budget: they come without their text first, then by length as far as they fit.
-    found = found.where("text is not null").withColumn("size", F.octet_length("text"))
-    got = found.withColumn("text", F.when(F.col("size") <= max_bytes // 100, F.col("text"))).collect()
+    # Longest texts are left to the end of the budget. Only lengths come at first, one for each text; then texts by length, as far as they fit.
+    found = found.where("text is not null").withColumn("size", F.octet_length("text")).groupBy("doc_id", "y", "h", F.xxhash64("text").alias("as")).agg(F.min("text").alias("text"), F.min("size").alias("size"))
+    sizes_of = found.groupBy("size").count().collect()  # as many rows as there are lengths
+    lengths = sorted(r["size"] for r in sizes_of for _ in range(min(r["count"], 2 * per_class)))
     texts, ys, seen, size = [], [], set(), 0
 
     def learn(rows) -> None:
@@ -64,13 +66,17 @@ def draw(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, pe
             texts.append(r.text or "")
             ys.append(r.y)
 
-    learn(sorted((r for r in got if r.size <= max_bytes // 100), key=lambda r: (r.h, r.doc_id, r.text or "")))
-    long = sorted(r.size for r in got if r.size > max_bytes // 100)
+    short = [n for n in lengths if n <= max_bytes // 100]
+    fit = int(np.searchsorted(np.cumsum(short), 4 * max_bytes, side="right"))  # copies, which aren't learned, need some room too
+    if fit:
+        rows = found.where(F.col("size") <= short[fit - 1]).orderBy("h", "doc_id", "as").limit(fit).collect()
+        learn(sorted(rows, key=lambda r: (r.h, r.doc_id, r.text)))
+    long = [n for n in lengths if n > (short[fit - 1] if fit else 0)]
     while long:  # again if copies left room
         fit = int(np.searchsorted(np.cumsum(long), max_bytes - size, side="right"))
         if not fit:
             break
-        rows = found.where(F.col("size").between(long[0], long[fit - 1])).collect()
+        rows = found.where(F.col("size").between(long[0], long[fit - 1])).orderBy("size", "h", "doc_id", "as").limit(fit).collect()
         learn(sorted(rows, key=lambda r: (r.size, r.h, r.doc_id, r.text)))
         long = [n for n in long if n > long[fit - 1]]
     y = np.array(ys, dtype=np.int64)
