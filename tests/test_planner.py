@@ -58,12 +58,13 @@ def test_window_plan_is_the_kernel_and_the_definition(spark, semantics):
         data = samples(spark, rnd, names).cache()
         for _ in range(4):
             f = formula(rnd, 2, names)
-            got = rows(planner.verdicts(data, f, semantics))
+            got = rows(planner.verdicts(data, f, semantics, strategy="window"))
             assert got == rows(planner.verdicts(data, f, semantics, strategy="kernel")), str(f)
             if semantics.startswith("Delayed"):
                 assert got == rows(planner.verdicts(data, f, semantics, strategy="naive")), str(f)
                 if f.depth:
-                    assert got == rows(planner.verdicts(data, f, semantics, bucket=f.depth / 1e6 + 3)), str(f)
+                    for strategy in ("window", "kernel"):
+                        assert got == rows(planner.verdicts(data, f, semantics, bucket=f.depth / 1e6 + 3, strategy=strategy)), str(f)
 
 
 def test_laws(spark):
@@ -105,6 +106,28 @@ def test_frontier_closure_waits_for_all_signals(spark):
     assert [t for t, *_ in rows(planner.verdicts(data, f, closure="frontier"))] == [0, 1_000_000]
 
 
+def test_a_hot_trace_is_spread_over_tasks(spark):
+    data = spark.range(9000).selectExpr("if(id < 3000, 'hot', concat('t', id % 100)) as trace", "'x' as signal", "id * 1000000 as t", "cast(id % 7 as double) as value")
+    for text in ("G[0,10](x > 0)", "x > 0 U[0,10] x > 5"):
+        df = planner.verdicts(data, parse_stl(text), bucket=100.0)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows would go to one task
+        try:
+            tasks = df.groupBy(F.spark_partition_id()).agg(F.count_if(F.col("trace") == "hot").alias("n")).where("n > 0").collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(tasks) > 3 and max(r.n for r in tasks) < 1500 and rows(df) == rows(planner.verdicts(data, parse_stl(text)))
+
+
+def test_long_timeline_without_traces(spark):
+    rnd = random.Random(3)
+    data = samples(spark, rnd)
+    steps = [(rnd.randrange(-5, 60) * 700_000, rnd.choice(["limit", "floor"]), float(rnd.randint(-2, 2))) for _ in range(400)]
+    timeline = spark.createDataFrame(steps, "t long, name string, value double")
+    by_trace = timeline.crossJoin(data.select("trace").distinct())
+    f = parse_stl("F[0,2](x > $limit and x < $floor)")
+    assert rows(planner.verdicts(data, f, timeline=timeline)) == rows(planner.verdicts(data, f, timeline=by_trace)) != []
+
+
 def test_global_timeline_of_a_variable(spark):
     data = spark.createDataFrame([("a", "x", t, 5.0) for t in range(5)], SCHEMA)
     steps = spark.createDataFrame([(1, "limit", 2.0), (3, "limit", 4.0)], "t long, name string, value double")
@@ -127,6 +150,29 @@ def test_stream_is_batch(spark, tmp_path):
         assert got == want and got
 
 
+def test_stream_of_two_signals_with_late_rows_is_its_emission_log(spark, tmp_path):
+    rnd = random.Random(13)
+    data = [(f"tr{k}", s, t * 1_000_000, float(rnd.randint(-3, 3))) for t in range(24) for k in range(2) for s in "xy"]
+    data = [(*r, i if i % 9 else i + 30) for i, r in enumerate(data)]  # some come late
+    data.sort(key=lambda r: r[4])
+    schema, source = SCHEMA + ", arrival_seq long", str(tmp_path / "in")
+    for i in range(3):
+        spark.createDataFrame(data[i * 32 : (i + 1) * 32], schema).coalesce(1).write.mode("append").parquet(source)
+    for semantics in ("DelayedQuantitative", "DelayedQualitative", "EagerQualitative", "Rosi"):
+        monitor = Monitor("G[0,3](x > -2 -> F[0,2](y > 0))", semantics)
+        for _ in range(2):  # the second run goes on from the checkpoint, and has nothing to add
+            stream = monitor.stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), log=True)
+            out = stream.writeStream.format("parquet").option("path", str(tmp_path / f"out{semantics}")).option("checkpointLocation", str(tmp_path / semantics))
+            out.trigger(availableNow=True).start().awaitTermination()
+        log = monitor.emissions(spark.createDataFrame(data, schema))
+        got = spark.read.schema(log.schema).parquet(str(tmp_path / f"out{semantics}"))
+        assert rows(got) == rows(log) != []
+        local = Monitor("G[0,3](x > -2 -> F[0,2](y > 0))", semantics)
+        want = [o for trace, s, t, v, _ in data if trace == "tr0" for o in local.update(s, v, t / 1e6).raw_outputs()]
+        mine = sorted(log.where("trace = 'tr0'").collect(), key=lambda r: r.seq)
+        assert [(r.t / 1e6, r.value if "value" in log.columns else (r.lo, r.hi)) for r in mine] == want
+
+
 def test_sources(spark, tmp_path):
     path = str(tmp_path / "signal.csv")
     with open(path, "w") as f:
@@ -150,5 +196,9 @@ def test_parser_forms():
     for bad in ("", "x >", "G(x > 1)", "G[0,5", "x > 1 )", "G[5,1](x>1)", "G[-1,2](x>0)", "x ? 1", "> 5"):
         with pytest.raises(StlParseError, match="position"):
             parse_stl(bad)
+    assert parse_stl("G > 5").get_signal_identifiers() == ["G"]
+    for bad in ("G > 5", "x > 1 and until < 2", "not (or > 1)"):
+        with pytest.raises(StlParseError):
+            parse_stl(bad, strict=True)
     assert normalize(parse_stl("x > 0 -> x > 1")) is parse_stl("!(x > 0) or x > 1")
     assert parse_stl("G[0,2.5](x > 3)").get_signal_identifiers() == ["x"] and parse_stl("x > $b").get_variable_identifiers() == ["b"]

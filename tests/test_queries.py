@@ -36,3 +36,9 @@ def test_chirp_catalog_is_whole_and_as_by_definition(spark):
     got = sorted(map(tuple, registry.chirp_catalog(spark, SF).collect()))
     assert [r[0] for r in got] == list(range(1, 22)) and all(r[1] > 0 for r in got)
     assert got == sorted(map(tuple, registry.chirp_catalog(spark, SF, "naive").collect()))
+
+
+def test_late_rows_are_dropped_and_common_times_are_met(spark):
+    every = registry.queries()["atom_gt"](spark, SF).count()
+    assert 0 < registry.late_drop(spark, SF).count() < every - 50
+    assert registry.sync_none_and(spark, SF).count() > 20

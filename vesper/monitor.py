@@ -178,11 +178,17 @@ class Monitor:
             options["strategy"] = "naive"
         return planner.verdicts(signals, self.formula, self.semantics, self.synchronization, dict(self.variables), **options)
 
-    def stream(self, signals: DataFrame) -> DataFrame:
-        """The emissions of a streaming signals table."""
+    def stream(self, signals: DataFrame, log: bool = False) -> DataFrame:
+        """The emissions of a streaming signals table; as a log, with the time and number of each."""
         from .streaming import processor
 
-        return processor.monitor_stream(signals, self.formula.bound(dict(self.variables)), self.semantics, self.synchronization)
+        return processor.monitor_stream(signals, self.formula.bound(dict(self.variables)), self.semantics, self.synchronization, log)
+
+    def emissions(self, signals: DataFrame) -> DataFrame:
+        """The emission log of a signals table: what ``update`` gives, sample by sample."""
+        from .streaming import processor
+
+        return processor.emission_log(signals, self.formula.bound(dict(self.variables)), self.semantics, self.synchronization)
 
     # One by one
     def reset(self) -> None:
@@ -248,6 +254,10 @@ class Monitor:
         """Samples held."""
         return self._online.size()
 
+    def total_bytes(self) -> int:
+        """Bytes of the samples held: a time and a value of eight bytes each."""
+        return 16 * self.total_size()
+
     def __str__(self) -> str:
         lines = ["STL Monitor Configuration:", f"  Specification: {self.formula}", f"  Algorithm: {self.algorithm}", f"  Semantics: {self.semantics}"]
         lines += [f"  Synchronization: {self.synchronization}", f"  Temporal Depth: {number(self.get_temporal_depth())}s"]

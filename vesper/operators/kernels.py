@@ -26,20 +26,26 @@ def window(t: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def until(t: np.ndarray, left: np.ndarray, right: np.ndarray, start: int, end: int) -> np.ndarray:
-    """sup over t' in [t + start, t + end] of min(right(t'), inf of left over [t, t']); one pass per row of the widest window."""
+    """sup over t' in [t + start, t + end] of min(right(t'), inf of left over [t, t']), in n log n.
+
+    As left's infimum only falls with t', this is the least of: right's supremum over the window; left's infimum
+    before the window; and the unbounded until from the window's first row on. The last obeys u = min(left, max(right, u of the next
+    row)). Such steps clamp u between two numbers, and clamps make clamps, so all rows come by doubling.
+    """
     n = t.size
-    best, least = np.full(n, -np.inf), np.full(n, np.inf)
-    _, high = window(t, start, end)
-    rows = np.arange(n)
-    widest = int((high - rows).max(initial=0))
-    for k in range(widest):
-        rows = rows[rows + k < high[rows]]
-        at = rows + k
-        least[rows] = np.minimum(least[rows], left[at])
-        inside = t[at] - t[rows] >= start
-        here = rows[inside]
-        best[here] = np.maximum(best[here], np.minimum(right[at[inside]], least[here]))
-    return best
+    if not n:
+        return np.zeros(0)
+    most = left.astype(np.float64)
+    least = np.minimum(most, right)
+    step = 1
+    while step < n:
+        below, above = np.maximum(least[:-step], least[step:]), np.maximum(least[:-step], most[step:])
+        least, most = (np.concatenate([np.minimum(most[:-step], x), y[-step:]]) for x, y in ((below, least), (above, most)))
+        step *= 2
+    low, high = window(t, start, end)
+    forever = np.where(low < n, least[np.minimum(low, n - 1)], -np.inf)
+    held = extremes(left, np.arange(n), low, False, np.inf)
+    return np.minimum(np.minimum(extremes(right, low, high, True, -np.inf), held), forever)
 
 
 NEVER = np.iinfo(np.int64).max

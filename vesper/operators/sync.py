@@ -23,10 +23,11 @@ def drop_late(signals: DataFrame) -> DataFrame:
     return reached.where(F.col("_reached").isNull() | (F.col("t") > F.col("_reached"))).drop("_reached")
 
 
-def wide(signals: DataFrame, names: list[str], grid: str = "formula") -> DataFrame:
-    """(trace, t, s0, s1, ...): one exchange on trace, which later windows use again."""
+def wide(signals: DataFrame, names: list[str], grid: str = "formula", by_trace: bool = True) -> DataFrame:
+    """(trace, t, s0, s1, ...): one exchange on trace, which later windows use again; or dealt by trace and time, for what needs no whole traces."""
     rows = signals if grid == "all" or not names else signals.where(F.col("signal").isin(*names))
-    rows = rows.select("trace", "t", "signal", "value").repartition("trace")
+    rows = rows.select("trace", "t", "signal", "value")
+    rows = rows.repartition("trace") if by_trace else rows
     return rows.groupBy("trace", "t").agg(*[F.max(F.when(F.col("signal") == n, F.col("value"))).alias(f"s{i}") for i, n in enumerate(names)], F.count("*").alias("_n")).drop("_n")
 
 

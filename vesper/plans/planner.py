@@ -2,11 +2,12 @@
 
 One exchange on trace brings a trace's samples together as wide rows, a time each; every distinct node of the normalized
 formula becomes one set of columns. Connectives are column algebra; G and F are forward RANGE frames, which
-share the exchange and the sort; U folds the frame's rows in order. Python takes part only if the kernel is asked
-for (long windows: its cost doesn't grow with their length) or for eager until.
+share the exchange and the sort. Formulas with U go to the numpy kernel, whose cost doesn't grow with windows' lengths (the window
+strategy can fold a frame's rows in order, if it is asked for, or for a timeline of thresholds); so does whatever asks for the kernel.
 
 Long traces: with ``bucket`` seconds (at least the formula's depth), each (trace, bucket) is evaluated by itself, with
-the samples up to a depth after it, so one trace is spread over many tasks.
+the samples up to a depth after it, by either strategy. A trace's end comes from a pre-aggregated join, and signals that needn't be
+aligned are never dealt by trace, so one trace with a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from ..operators.trace import EAGER, QUALITATIVE, QUANTITATIVE, ROSI, SEMANTICS,
 from .formula import Formula, micros, normalize
 
 INF = float("inf")
-#: Rows of a variable timeline without traces that may be broadcast; its size is checked.
-TIMELINE_ROWS = 10_000
+#: Steps of a variable timeline without traces to a stretch of time, on average.
+PER_STRETCH = 50
 TYPES = {QUANTITATIVE: "value double", QUALITATIVE: "value boolean", EAGER: "value boolean, decided_at long", ROSI: "lo double, hi double"}
 
 
@@ -201,13 +202,21 @@ def _with_timeline(table: DataFrame, formula: Formula, timeline: DataFrame | Non
         merged = merged.groupBy("trace", "t").agg(*[F.max(c).alias(c) for c in merged.columns if c not in ("trace", "t")])
         merged = merged.select(*[c for c in merged.columns if not (c[0] == "v" and c[1:].isdigit())], *[F.last(f"v{i}", ignorenulls=True).over(past).alias(f"v{i}") for i in range(len(names))])
         return merged.where("_row").drop("_row"), {n: F.col(f"v{i}") for i, n in enumerate(names)}
-    if timeline.limit(TIMELINE_ROWS + 1).count() > TIMELINE_ROWS:
-        raise ValueError(f"A timeline of over {TIMELINE_ROWS} rows needs a trace column")
-    for i, n in enumerate(names):
-        own = timeline.where(F.col("name") == n).groupBy("t").agg(F.max("value").alias(f"v{i}"))
-        own = own.select(F.col("t").alias("_from"), f"v{i}", F.lead("t").over(Window.partitionBy(F.lit(0)).orderBy("t")).alias("_until"))
-        table = table.join(F.broadcast(own), (table["t"] >= own["_from"]) & (own["_until"].isNull() | (table["t"] < own["_until"])), "left").drop("_from", "_until")
-    return table, {n: F.col(f"v{i}") for i, n in enumerate(names)}
+    # Steps by stretches of time, some PER_STRETCH each, with what held before each stretch: samples meet their stretch alone.
+    lo, hi, n = timeline.agg(F.min("t"), F.max("t"), F.count("*")).first()
+    if not n:
+        return table.withColumns({f"v{i}": F.lit(None).cast("double") for i in range(len(names))}), {v: F.col(f"v{i}") for i, v in enumerate(names)}
+    stretches = n // PER_STRETCH + 1
+    width = (hi - lo) // stretches + 1
+    of = F.least(F.floor((F.col("t") - lo) / width), F.lit(stretches - 1)).cast("long")
+    steps = timeline.groupBy("t", "name").agg(F.max("value").alias("value")).withColumn("_stretch", of)
+    own = [(F.sort_array(F.collect_list(F.when(F.col("name") == v, F.struct("t", "value")))).alias(f"a{i}"), F.max_by(F.when(F.col("name") == v, F.col("value")), F.when(F.col("name") == v, F.col("t"))).alias(f"z{i}")) for i, v in enumerate(names)]
+    steps = timeline.sparkSession.range(stretches).withColumnRenamed("id", "_stretch").join(steps.groupBy("_stretch").agg(*[c for pair in own for c in pair]), "_stretch", "left")
+    earlier = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
+    steps = steps.select("_stretch", *[f"a{i}" for i in range(len(names))], *[F.last(f"z{i}", ignorenulls=True).over(earlier).alias(f"b{i}") for i in range(len(names))])
+    met = table.withColumn("_stretch", F.when(F.col("t") >= lo, of)).join(steps, "_stretch", "left")
+    last = [F.coalesce(F.try_element_at(F.filter(f"a{i}", lambda s: s["t"] <= F.col("t")), F.lit(-1))["value"], F.col(f"b{i}")).alias(f"v{i}") for i in range(len(names))]
+    return met.select(*table.columns, *last), {v: F.col(f"v{i}") for i, v in enumerate(names)}
 
 
 def verdicts(
@@ -217,7 +226,7 @@ def verdicts(
     synchronization: str = "ZeroOrderHold",
     variables: dict[str, float] | None = None,
     timeline: DataFrame | None = None,
-    strategy: str = "window",
+    strategy: str = "auto",
     closure: str = "any",
     horizon: int | None = None,
     bucket: float | None = None,
@@ -226,7 +235,8 @@ def verdicts(
 ) -> DataFrame:
     """Verdicts (trace, t, value | value, decided_at | lo, hi) of signals (trace, signal, t in microseconds, value[, arrival_seq]).
 
-    strategy: "window" (built-in frames), "kernel" (numpy over one trace) or "naive" (the definition, for comparison).
+    strategy: "auto" ("kernel" for formulas with until, else "window"), "window" (built-in frames), "kernel" (numpy over one
+    trace, or one bucket of it) or "naive" (the definition, for comparison).
     closure: "any" (some signal has reached t + depth) or "frontier" (all of the formula's have). horizon: only samples up
     to it are seen. until_lower_bound: "textbook", or "ignore" to let t' begin at t. Late samples are dropped first.
     """
@@ -236,32 +246,38 @@ def verdicts(
         raise ValueError("Invalid synchronization. Use 'ZeroOrderHold', 'Linear', or 'None'")
     formula = normalize(formula.bound(variables or {}))
     names, ignore = formula.signals(), until_lower_bound == "ignore"
-    if strategy == "window" and semantics == EAGER and any(n.kind == "until" for n in formula.walk()):
+    folds = any(n.kind == "until" for n in formula.walk())
+    if strategy == "auto":
+        strategy = "kernel" if folds and timeline is None else "window"
+    if strategy == "window" and semantics == EAGER and folds:
         strategy = "kernel"
+    if bucket is not None and micros(bucket) < formula.depth:
+        raise ValueError("A bucket must be as long as the formula's depth")
+    if bucket is not None and (semantics in (EAGER, ROSI) or strategy == "naive"):
+        raise ValueError("Buckets are for delayed semantics")
     rows = sync.drop_late(signals)
     if horizon is not None:
         rows = rows.where(F.col("t") <= horizon)
-    table = sync.synchronize(sync.wide(rows, names, grid), names, synchronization)
+    apart = bucket is not None and (synchronization == "None" or len(names) < 2) and (timeline is None or not formula.variables())
+    table = sync.synchronize(sync.wide(rows, names, grid, not apart), names, synchronization)
     table, thresholds = _with_timeline(table, formula, timeline)
-    if strategy in ("kernel", "naive"):
-        if thresholds:
-            raise ValueError("A timeline needs the window strategy")
-        return _by_kernel(table, formula, names, semantics, strategy == "naive", ignore, closure)
-    over = Window.partitionBy("trace")
-    end = F.max("t").over(over)
-    if closure == "frontier" and len(names) > 1:
-        end = F.least(*[F.max(F.when(F.col(f"s{i}").isNotNull(), F.col("t"))).over(over) for i in range(len(names))])
-    table = table.withColumn("_end", end)
+    if strategy in ("kernel", "naive") and thresholds:
+        raise ValueError("A timeline needs the window strategy")
     keys: tuple[str, ...] = ("trace",)
     if bucket is not None:
+        table = table.join(_ends(rows, names, closure, grid), "trace")
         size = micros(bucket)
-        if size < formula.depth:
-            raise ValueError("A bucket must be as long as the formula's depth")
-        if semantics in (EAGER, ROSI):
-            raise ValueError("Buckets are for delayed semantics")
         home = F.floor(F.col("t") / F.lit(size)).cast("long")
         table = table.withColumn("_home", home).withColumn("_bucket", F.explode(F.when(F.col("t") - home * size <= formula.depth, F.array(home, home - 1)).otherwise(F.array(home))))
         keys = ("trace", "_bucket")
+    if strategy in ("kernel", "naive"):
+        return _by_kernel(table, formula, names, semantics, strategy == "naive", ignore, closure, None if bucket is None else micros(bucket))
+    if bucket is None:
+        over = Window.partitionBy("trace")
+        end = F.max("t").over(over)
+        if closure == "frontier" and len(names) > 1:
+            end = F.least(*[F.coalesce(F.max(F.when(F.col(f"s{i}").isNotNull(), F.col("t"))).over(over), F.lit(-1)) for i in range(len(names))])
+        table = table.withColumn("_end", end)
     compiler = Compiler(table, names, semantics, ignore, keys, thresholds)
     root = compiler.compile(formula)
     found = compiler.df.where(root.member)
@@ -274,7 +290,16 @@ def verdicts(
     return found.where(root.columns[1].isNotNull()).select("trace", "t", root.columns[0].alias("value"), root.columns[1].alias("decided_at"))
 
 
-def _by_kernel(table: DataFrame, formula: Formula, names: list[str], semantics: str, naive: bool, ignore: bool, closure: str) -> DataFrame:
+def _ends(rows: DataFrame, names: list[str], closure: str, grid: str) -> DataFrame:
+    """(trace, _end): the time that its verdicts' whole future must have reached."""
+    rows = rows if grid == "all" or not names else rows.where(F.col("signal").isin(*names))
+    end = F.max("t")
+    if closure == "frontier" and len(names) > 1:
+        end = F.least(*[F.coalesce(F.max(F.when(F.col("signal") == n, F.col("t"))), F.lit(-1)) for n in names])
+    return rows.groupBy("trace").agg(end.alias("_end"))
+
+
+def _by_kernel(table: DataFrame, formula: Formula, names: list[str], semantics: str, naive: bool, ignore: bool, closure: str, bucket: int | None) -> DataFrame:
     kind = table.schema["trace"].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -288,13 +313,21 @@ def _by_kernel(table: DataFrame, formula: Formula, names: list[str], semantics:
             samples[""] = (t, np.zeros(t.size))
         made = Evaluator(samples, semantics, naive, ignore)
         found = made.rows(formula)
-        end = made.now if closure == "any" else min(int(x[-1]) if x.size else -1 for x, _ in samples.values())
-        out = {"trace": [rows["trace"].iloc[0]] * found.t.size, "t": found.t}
+        if bucket is not None:
+            end = int(rows["_end"].iloc[0])
+        else:
+            end = made.now if closure == "any" else min(int(x[-1]) if x.size else -1 for x, _ in samples.values())
+        trace = rows["trace"].iloc[0]
+        out = {"trace": np.full(found.t.size, trace, dtype=object if isinstance(trace, str) else None), "t": found.t}
         if semantics == ROSI:
             return pd.DataFrame(out | {"lo": found.a + 0.0, "hi": found.b + 0.0})
         if semantics == EAGER:
             return pd.DataFrame(out | {"value": found.a, "decided_at": found.b})[found.b != NEVER]
         value = found.a + 0.0 if semantics == QUANTITATIVE else found.a
-        return pd.DataFrame(out | {"value": value})[found.t + formula.depth <= end]
+        keep = found.t + formula.depth <= end
+        if bucket is not None:
+            keep &= found.t // bucket == int(rows["_bucket"].iloc[0])
+        return pd.DataFrame(out | {"value": value})[keep]
 
-    return table.groupBy("trace").applyInPandas(run, f"trace {kind}, t long, {TYPES[semantics]}")
+    groups = table.groupBy("trace") if bucket is None else table.groupBy("trace", "_bucket")
+    return groups.applyInPandas(run, f"trace {kind}, t long, {TYPES[semantics]}")

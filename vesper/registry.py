@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import intervals
+from .monitor import Monitor
 from .operators.trace import EAGER, QUALITATIVE, QUANTITATIVE, ROSI
 from .plans import catalog, planner
 from .plans.formula import Formula
@@ -39,7 +40,7 @@ SINGLE: dict[str, tuple[str, str]] = {
     "rosi_globally": (f"G[0,{DAY}](value < 200)", ROSI), "rosi_response": (f"G[0,{2 * DAY}](value > 200 -> F[0,{DAY}](value < 20))", ROSI), "rosi_until": (f"(value < 150) U[0,{2 * DAY}] (value > 60)", ROSI),
 }
 # Signals click and view of events on common times.
-PAIRED = {"sync_none_and": "None", "sync_zoh_and": "ZeroOrderHold", "sync_linear_and": "Linear"}
+PAIRED = {"sync_zoh_and": "ZeroOrderHold", "sync_linear_and": "Linear"}
 PAIR = "click > 20 and view < 150"
 WINDOWED_PAIR = f"G[0,{DAY}](click > 5 -> F[0,{DAY}](view > 5))"
 KERNEL = f"G[0,{3 * DAY}](value > 200 -> F[0,{2 * DAY}](value < 20))"
@@ -88,7 +89,72 @@ select trace, t, value, decided_at from (select trace, t, value, max(d) over (pa
 
 
 def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planner.verdicts(signals.from_events(_events(spark, sf_dir)), parse_stl("value > 50"))
+    """Every fifth event comes after all others, so most of these are late."""
+    rows = signals.from_events(_events(spark, sf_dir))
+    delay = F.when(F.col("arrival_seq") % 5 == 0, F.lit(LATE)).otherwise(F.lit(0))
+    return planner.verdicts(rows.withColumn("arrival_seq", F.col("arrival_seq") + delay), parse_stl("value > 50"))
+
+
+LATE = 1_000_000_000_000
+OTHERS = ["error", "purchase", "signup"]
+LATE_EVENTS = f"select user_id as trace, 'value' as signal, epoch_us(ts) as t, value, event_id + case when event_id % 5 = 0 then {LATE} else 0 end as arrival_seq from events"
+
+
+def sync_none_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and views on the three days that they are in, so that both signals have many times in common."""
+    return planner.verdicts(_days(spark, sf_dir), parse_stl(PAIR), QUANTITATIVE, "None")
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _typed(spark, sf_dir).withColumn("t", F.col("t") - F.col("t") % (3 * DAY * 1_000_000))
+
+
+DAYS = f"select user_id as trace, event_type as signal, epoch_us(ts) - epoch_us(ts) % {3 * DAY * 1_000_000} as t, value, event_id as arrival_seq from events"
+
+
+def closure_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts only where both signals have reached the end of the windows."""
+    return planner.verdicts(_typed(spark, sf_dir), parse_stl(WINDOWED_PAIR), closure="frontier")
+
+
+def grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks held on the times of all signals, not only of the formula's two."""
+    return planner.verdicts(_typed(spark, sf_dir), parse_stl(PAIR), grid="all")
+
+
+def eager_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.verdicts(_typed(spark, sf_dir), parse_stl("click > 20 and view < 150"), EAGER)
+
+
+def eager_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.verdicts(_typed(spark, sf_dir), parse_stl("click > 20 or view < 150"), EAGER)
+
+
+def emission_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each verdict came, in the order it came."""
+    rows = _events(spark, sf_dir).groupBy("user_id", "ts").agg(F.min("value").alias("value"), F.min("event_id").alias("event_id"))
+    return Monitor(SINGLE["globally_quant"][0]).emissions(signals.from_events(rows).drop("arrival_seq"))
+
+
+def latest_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last of the refinements that a log of intervals has for each time."""
+    rows = _events(spark, sf_dir).where(f"unix_micros(cast(ts as timestamp)) <= {WEEK}").groupBy("user_id", "ts").agg(F.min("value").alias("value"), F.min("event_id").alias("event_id"))
+    log = Monitor(SINGLE["rosi_globally"][0], ROSI).emissions(signals.from_events(rows).drop("arrival_seq"))
+    last = log.groupBy("trace", "t").agg(F.max_by(F.struct("lo", "hi"), "seq").alias("v"))
+    return last.select("trace", "t", "v.lo", "v.hi")
+
+
+WEEK = 1_704_672_000_000_000
+
+
+def eager_pair_sql(cut: str) -> str:
+    """And (cut false) or Or (cut true) of two atoms, each decided at its own time: a side that is ``cut`` decides alone."""
+    return f"""
+with {signals_base(["click", "view"], TYPED, "ZeroOrderHold")},
+sides as (select trace, t, s0 > 20 as x, s1 < 150 as y from base)
+select trace, t, case when x = {cut} or y = {cut} then {cut} else not {cut} end as value, t as decided_at from sides
+where x = {cut} or y = {cut} or (x is not null and y is not null)
+"""
 
 
 def variables_static(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +245,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found |= {"eager_globally": eager(f"G[0,{DAY}]({EAGER_G})"), "eager_eventually": eager(f"F[0,{DAY}]({EAGER_G})"), "eager_until": eager(SINGLE["until_bool"][0])}
     found |= {"until_ignore_start": _plain(SINGLE["until_offset"][0], QUANTITATIVE, until_lower_bound="ignore"), "bucketed": _plain(SINGLE["response"][0], QUANTITATIVE, bucket=4 * DAY)}
     found |= {"kernel_response": _plain(KERNEL, QUANTITATIVE, strategy="kernel"), "kernel_until": _plain(SINGLE["until_quant"][0], QUANTITATIVE, strategy="kernel"), "naive_response": _plain(SINGLE["response"][0], QUANTITATIVE, strategy="naive")}
-    own = (late_drop, variables_static, variables_asof, rosi_horizon, violation_report, dataset_join, interval_arithmetic, signal_union, orders_price, lineitem_quantity, chirp_catalog)
+    own = (late_drop, sync_none_and, closure_frontier, grid_all, eager_and, eager_or, emission_log, latest_intervals, variables_static, variables_asof, rosi_horizon, violation_report, dataset_join, interval_arithmetic, signal_union, orders_price, lineitem_quantity, chirp_catalog)
     return found | {f.__name__: f for f in own}
 
 
@@ -196,7 +262,22 @@ def oracle_sql() -> dict[str, str]:
     found["bucketed"] = found["naive_response"] = found["response"]
     found["kernel_response"] = verdict_sql(parse_stl(KERNEL), _base(), names=["value"])
     found["kernel_until"] = found["until_quant"]
-    found["late_drop"] = verdict_sql(parse_stl("value > 50"), _base(late=True), names=["value"])
+    found["late_drop"] = verdict_sql(parse_stl("value > 50"), signals_base(["value"], LATE_EVENTS, late=True), names=["value"])
+    found["sync_none_and"] = verdict_sql(parse_stl(PAIR), signals_base(pair, DAYS), names=pair)
+    windowed = parse_stl(WINDOWED_PAIR)
+    reached = f"select user_id as trace, least(max(epoch_us(ts)) filter (event_type = 'click'), max(epoch_us(ts)) filter (event_type = 'view')) as reached from events group by user_id having count(distinct event_type) filter (event_type in ('click', 'view')) = 2"
+    found["closure_frontier"] = f"select v.* from ({found['sync_zoh_windows']}) v join ({reached}) using (trace) where t + {windowed.depth} <= reached"
+    found["closure_frontier"] = found["closure_frontier"].replace("select v.* from", "select v.trace, v.t, v.value from")
+    every = ["click", "view", *OTHERS]
+    found["grid_all"] = verdict_sql(parse_stl(PAIR), signals_base(every, TYPED, "ZeroOrderHold"), names=every)
+    depth = parsed["globally_quant"][0].depth
+    found["emission_log"] = f"""
+with verdicts as ({found["globally_quant"]}), seen as (select distinct user_id as trace, epoch_us(ts) as u from events)
+select trace, emitted_at, row_number() over (partition by trace order by t) as seq, t, value
+from (select v.trace, min(s.u) as emitted_at, v.t, v.value from verdicts v join seen s on v.trace = s.trace and s.u >= v.t + {depth} group by v.trace, v.t, v.value)
+"""
+    found["latest_intervals"] = verdict_sql(parsed["rosi_globally"][0], _base(until=f"and t <= {WEEK}"), ROSI, ["value"])
+    found["eager_and"], found["eager_or"] = eager_pair_sql("false"), eager_pair_sql("true")
     found["variables_static"] = verdict_sql(parse_stl(f"G[0,{DAY}](value < 180)"), _base(), names=["value"])
     found["variables_asof"] = ASOF_SQL
     found["rosi_horizon"] = verdict_sql(parsed["rosi_response"][0], _base(until=f"and t <= {HORIZON}"), ROSI, ["value"])

@@ -2,6 +2,9 @@
 
 State is an Online monitor's samples, bounded by the formula's depth; late samples are dropped by signal. Delayed
 and eager verdicts are each given once; interval refinements are given again with every micro-batch.
+
+An emission log has every emission as it came: the time of the sample that brought it (emitted_at) and its number in its
+trace (seq). It is made sample by sample, over a stream or a table; sources.signals.latest and nested read it.
 """
 
 from __future__ import annotations
@@ -18,24 +21,59 @@ from ..plans.formula import Formula
 from .online import Online
 
 
-def monitor_stream(signals: DataFrame, formula: Formula, semantics: str, synchronization: str) -> DataFrame:
-    """(trace, t, value) or (trace, t, lo, hi) of signals (trace, signal, t, value[, arrival_seq]) as they come."""
-    kind = signals.schema["trace"].dataType.simpleString()
-    value = "lo double, hi double" if semantics == ROSI else "value boolean" if semantics in (EAGER, QUALITATIVE) else "value double"
-    names = ["t", *[x.split()[0] for x in value.split(", ")]]
-    order = ["arrival_seq"] if "arrival_seq" in signals.columns else ["t", "signal"]
+def _columns(semantics: str) -> str:
+    return "lo double, hi double" if semantics == ROSI else "value boolean" if semantics in (EAGER, QUALITATIVE) else "value double"
+
+
+def _in_order(signals: DataFrame) -> list[str]:
+    return ["arrival_seq"] if "arrival_seq" in signals.columns else ["t", "signal"]
+
+
+def _emissions(monitor: Online, rows: pd.DataFrame, trace, seq: int) -> list[tuple]:
+    """The log of what each of the rows brings, after ``seq`` earlier emissions."""
+    out = []
+    for signal, x, t in zip(rows["signal"], rows["value"], rows["t"], strict=True):
+        if monitor.add(signal, x, int(t)):
+            for o in monitor.emit():
+                seq += 1
+                out.append((trace, int(t), seq, *o))
+    return out
+
+
+def emission_log(signals: DataFrame, formula: Formula, semantics: str, synchronization: str) -> DataFrame:
+    """(trace, emitted_at, seq, t, value or lo, hi) of a signals table, as its samples come by arrival_seq or time."""
+    kind, order = signals.schema["trace"].dataType.simpleString(), _in_order(signals)
+    schema = f"trace {kind}, emitted_at long, seq long, t long, {_columns(semantics)}"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        made = _emissions(Online(formula, semantics, synchronization), rows.sort_values(order, kind="stable"), rows["trace"].iloc[0], 0)
+        return pd.DataFrame(made, columns=names)
+
+    return signals.where("trace is not null and signal is not null and t is not null").groupBy("trace").applyInPandas(run, schema)
+
+
+def monitor_stream(signals: DataFrame, formula: Formula, semantics: str, synchronization: str, log: bool = False) -> DataFrame:
+    """(trace, t, value) or (trace, t, lo, hi) of signals (trace, signal, t, value[, arrival_seq]) as they come; or their emission log."""
+    kind, order = signals.schema["trace"].dataType.simpleString(), _in_order(signals)
+    schema = f"trace {kind}, " + "emitted_at long, seq long, " * log + f"t long, {_columns(semantics)}"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        monitor = Online(formula, semantics, synchronization)
+        monitor, seq = Online(formula, semantics, synchronization), 0
         if state.exists:
-            samples, last, done = json.loads(state.get[0])
+            (samples, last, done), seq = json.loads(state.get[0])
             monitor.restore(({k: [tuple(x) for x in v] for k, v in samples.items()}, last, done))
         rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        for signal, x, t in zip(rows["signal"], rows["value"], rows["t"], strict=True):
-            monitor.add(signal, x, int(t))
-        out = monitor.emit()
-        state.update((json.dumps(monitor.state()),))
+        if log:
+            out = _emissions(monitor, rows, key[0], seq)
+        else:
+            for signal, x, t in zip(rows["signal"], rows["value"], rows["t"], strict=True):
+                monitor.add(signal, x, int(t))
+            out = [(key[0], *o) for o in monitor.emit()]
+        state.update((json.dumps((monitor.state(), seq + len(out))),))
         if out:
-            yield pd.DataFrame([(key[0], *o) for o in out], columns=["trace", *names])
+            yield pd.DataFrame(out, columns=names)
 
-    return signals.groupBy("trace").applyInPandasWithState(run, f"trace {kind}, t long, {value}", "state string", "append", GroupStateTimeout.NoTimeout)
+    there = signals.where("trace is not null and signal is not null and t is not null")
+    return there.groupBy("trace").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
