@@ -9,13 +9,18 @@ from pyspark.sql.window import Window
 STRATEGIES = ("ZeroOrderHold", "Linear", "None")
 
 
+def present(signals: DataFrame) -> DataFrame:
+    """Rows that are samples: with trace, signal, t and a value that isn't NaN."""
+    return signals.where("trace is not null and signal is not null and t is not null and value is not null and not isnan(value)")
+
+
 def drop_late(signals: DataFrame) -> DataFrame:
     """Without the samples that come at or before a time that their own signal has already reached.
 
     By arrival_seq if there is one; else of equal (trace, signal, t) the least value stays. Rows without trace, signal, t or
     value, or with a NaN value, are no samples.
     """
-    there = signals.where("trace is not null and signal is not null and t is not null and value is not null and not isnan(value)")
+    there = present(signals)
     if "arrival_seq" not in signals.columns:
         return there.groupBy("trace", "signal", "t").agg(F.min("value").alias("value"))
     before = Window.partitionBy("trace", "signal").orderBy("arrival_seq", "t", "value").rowsBetween(Window.unboundedPreceding, -1)
@@ -24,11 +29,14 @@ def drop_late(signals: DataFrame) -> DataFrame:
 
 
 def wide(signals: DataFrame, names: list[str], grid: str = "formula", by_trace: bool = True) -> DataFrame:
-    """(trace, t, s0, s1, ...): one exchange on trace, which later windows use again; or dealt by trace and time, for what needs no whole traces."""
+    """(trace, t, s0, s1, ...): one exchange on trace, which later windows use again; or dealt by trace and time, for what needs no whole traces.
+
+    Of equal (trace, signal, t) the least value stays.
+    """
     rows = signals if grid == "all" or not names else signals.where(F.col("signal").isin(*names))
     rows = rows.select("trace", "t", "signal", "value")
     rows = rows.repartition("trace") if by_trace else rows
-    return rows.groupBy("trace", "t").agg(*[F.max(F.when(F.col("signal") == n, F.col("value"))).alias(f"s{i}") for i, n in enumerate(names)], F.count("*").alias("_n")).drop("_n")
+    return rows.groupBy("trace", "t").agg(*[F.min(F.when(F.col("signal") == n, F.col("value"))).alias(f"s{i}") for i, n in enumerate(names)], F.count("*").alias("_n")).drop("_n")
 
 
 def synchronize(table: DataFrame, names: list[str], strategy: str) -> DataFrame:

@@ -255,7 +255,7 @@ def verdicts(
         raise ValueError("A bucket must be as long as the formula's depth")
     if bucket is not None and (semantics in (EAGER, ROSI) or strategy == "naive"):
         raise ValueError("Buckets are for delayed semantics")
-    rows = sync.drop_late(signals)
+    rows = sync.drop_late(signals) if "arrival_seq" in signals.columns else sync.present(signals)
     if horizon is not None:
         rows = rows.where(F.col("t") <= horizon)
     apart = bucket is not None and (synchronization == "None" or len(names) < 2) and (timeline is None or not formula.variables())
