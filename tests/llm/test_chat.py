@@ -46,10 +46,19 @@ def test_a_long_conversation_has_the_ids_of_one_encoding(spark):
     assert got(spark, rows) == brute(rows)
     segments = [r for r in chat.format_conversations(spark.createDataFrame(rows, SCHEMA), PATH).collect() if r.conv_id == 7]
     assert [r.segment for r in segments] == list(range(len(segments))) and len(segments) > 3
-    whole = chat.marked_tokenizer(PATH).encode("".join(r.text for r in segments), add_special_tokens=False)
+    whole = chat.marked_tokenizer(PATH).tokenizer.encode("".join(r.text for r in segments), add_special_tokens=False)
     assert [i for r in segments for i in r.ids] == whole.ids
 
 
+@given(st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "<", "[", " ", "  ", "\n", "é", "ß", "Ǆ", "\U0001f600", "word", " It's", "42", "<|endoftext|>", "ÿ"]), max_size=20))
+def test_ids_and_offsets_are_the_tokenizers(parts):
+    encoder, said = chat.marked_tokenizer(PATH), "".join(parts)
+    ids, starts, ends = encoder.encode(said)
+    whole = encoder.tokenizer.encode(said, add_special_tokens=False)
+    assert ids.tolist() == whole.ids
+    assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == whole.offsets
+
+
 @given(st.text(alphabet="<>[]/\\sINST|endoftx ab", max_size=40))
 def test_escapes_are_reversible_and_leave_no_mark(said):
     body = chat.escaped(said)

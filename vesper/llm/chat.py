@@ -21,7 +21,6 @@ table; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
@@ -30,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
+
 # The template's marks, and the vocabulary's end mark.
 BEGIN, OPEN, CLOSE, END, STOP = "<s>", "[INST]", "[/INST]", "</s>", "<|endoftext|>"
 ESCAPE = re.compile(r"([<\[])(\\*)(/?(?:s>|INST\])|\|endoftext\|>)")
@@ -62,18 +63,8 @@ def overlapping(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.n
     return (at >= 0) & (spans[np.maximum(at, 0), 1] > starts) & (ends > starts)
 
 
-_tokenizers: dict = {}
-
-
-def marked_tokenizer(path: str):
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import AddedToken, Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.add_special_tokens([AddedToken(m, normalized=False, special=True) for m in (BEGIN, OPEN, CLOSE, END)])
-        _tokenizers[path] = t
-    return _tokenizers[path]
+def marked_tokenizer(path: str) -> tokens.MarkedEncoder:
+    return tokens.marked_encoder(path, (BEGIN, OPEN, CLOSE, END))
 
 
 def format_conversations(conversations: DataFrame, tokenizer: str, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -98,15 +89,14 @@ def format_conversations(conversations: DataFrame, tokenizer: str, learned: tupl
 
         def encoded():
             nonlocal ready
-            columns: list[list] = [[] for _ in range(8)]
-            for (conv, segment, turns, said, where), e in zip(ready, encoder.encode_batch([r[3] for r in ready], add_special_tokens=False), strict=True):
-                offsets = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
-                for c, v in zip(columns, (conv, segment, turns, said, e.ids, offsets[:, 0], offsets[:, 1], overlapping(offsets[:, 0], offsets[:, 1], where)), strict=True):
-                    c.append(v)
+            said = [encoder.encode(r[3]) for r in ready]
+            loss = [overlapping(starts, ends, r[4]) for r, (_, starts, ends) in zip(ready, said, strict=True)]
+            bounds = np.zeros(len(ready) + 1, dtype=np.int32)
+            np.cumsum([ids.size for ids, _, _ in said], out=bounds[1:])
+            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(x))) for x in (*zip(*said, strict=True), loss)]
+            conv, segment, turns, texts = (pa.array([r[i] for r in ready], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.string())))
             ready = []
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()))
-            names = [f.split()[0] for f in SEGMENTS.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([conv, segment, turns, texts, *lists], [f.split()[0] for f in SEGMENTS.split(", ")])
 
         for batch in batches:
             for conv, role, said in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
@@ -131,13 +121,11 @@ def format_conversations(conversations: DataFrame, tokenizer: str, learned: tupl
 
 def masked(said: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> list[str]:
     """The runs of text under a loss mask: what its tokens cover, each character once, tokens that touch joined."""
-    runs: list[list[int]] = []
-    for a, b in zip(starts[loss].tolist(), ends[loss].tolist(), strict=True):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(b, runs[-1][1])
-        else:
-            runs.append([a, b])
-    return [said[a:b] for a, b in runs]
+    a, b = starts[loss], np.maximum.accumulate(ends[loss])
+    if not a.size:
+        return []
+    cuts = np.flatnonzero(a[1:] > b[:-1])
+    return [said[i:j] for i, j in zip(a[np.r_[0, cuts + 1]].tolist(), b[np.r_[cuts, b.size - 1]].tolist(), strict=True)]
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
