@@ -108,3 +108,19 @@ def test_crowded_tiles_by_group_by_tile_and_by_band():
     bands, links_bands = found([(k, b, i) for i in n for k in keys[i] for b in (int(at[i]), int(at[i]) + 1)])
     assert links_whole == links_tiles == links_bands == wanted
     assert len(set(tiles)) == len(tiles) and len(whole) < 2 * len(wanted) + 50
+
+
+def test_links_between_size_bands_of_a_large_tile(spark, monkeypatch):
+    rnd = random.Random(9)
+    passage = [f"passage-of-long-words-{i:02}" for i in range(23)]  # its shingles are the longest: all that any set lists
+    own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    least = passage + own(85)
+    between = [passage + own(n) for n in range(86, 95) for _ in range(2)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([least, *between, least + own(10)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    band = lambda n: int(np.log(n) / np.log(100 / 85) / 1.000001)
+    assert band(105) + 1 == band(115) and jaccard.NEAR <= len(between)
+    assert [c for _, _, c in sorted(brute(rows, 4, 85))] == [*range(len(rows) - 1), 0]
+    for group in (jaccard.GROUP, 1):
+        monkeypatch.setattr(jaccard, "GROUP", group)
+        check(docs, 4, 85)

@@ -266,7 +266,7 @@ def _crossing(percent: int):
         listed = [set(x.tolist()) for x in keys]
         for rows, key in tiles(gid, band, keys):
             for home in np.unique(at[rows]) if band in (WHOLE, TILE) else [band]:
-                here = rows[(at[rows] == home) | (at[rows] == home + 1)]
+                here = rows[(at[rows] == home) | (at[rows] == home - 1)]  # as sets are dealt to their own band and the next
                 if here.size < 2 or (comp[here] == comp[here[0]]).all():
                     continue
                 for x, y in bounded(size[here], comp[here], at[here] == home, [bits[i] for i in here]):
