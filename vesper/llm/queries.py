@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, chat, frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, sqltext, suffix_dedup, toxicity
+from . import bm25, bpe, chat, frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, sqltext, suffix_dedup, toxicity
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_units", "n_removed", "chars_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = ranks or public_tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    said = bpe.decode(bpe.encode(frames.table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return said.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def public_tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -62,7 +70,7 @@ def public_tokenizer(name: str) -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op5_topk_search, op6_mixing_sources, op7_best_fit_packing, op8_suffix_array_dedup, op9_toxicity, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op5_topk_search, op6_mixing_sources, op7_best_fit_packing, op8_suffix_array_dedup, op9_toxicity, op10_substring_dedup, op11_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
