@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, chat, frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, sqltext, suffix_dedup, toxicity
+from . import bm25, bpe, chat, frames, jaccard, line_dedup, mixing, packing, quality_model, quality_rules, repair, sparse_rank, sqltext, suffix_dedup, toxicity
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -63,6 +63,14 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
     return said.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_rank.rank(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(*repair.repair(repair.damaged(frames.table(spark, sf_dir, "conversations"))))
+
+
 def public_tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -70,7 +78,7 @@ def public_tokenizer(name: str) -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op5_topk_search, op6_mixing_sources, op7_best_fit_packing, op8_suffix_array_dedup, op9_toxicity, op10_substring_dedup, op11_byte_bpe)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_quality_classifier, op4_ngram_jaccard_join, op5_topk_search, op6_mixing_sources, op7_best_fit_packing, op8_suffix_array_dedup, op9_toxicity, op10_substring_dedup, op11_byte_bpe, op12_lexical_rank, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -81,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing_sources": mixing.ORACLE,
         "op8_suffix_array_dedup": sqltext.SUFFIX_DEDUP,
         "op10_substring_dedup": line_dedup.ORACLE,
+        "op12_lexical_rank": sparse_rank.ORACLE,
     }

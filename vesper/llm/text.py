@@ -80,9 +80,9 @@ def slices(data: np.ndarray, offs: np.ndarray, most: int | None = None) -> Itera
         at = end
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each text the index of its first word (one more than texts)."""
-    word = ~SPACES[data]
+def word_spans(data: np.ndarray, offs: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs of bytes that aren't gaps), and for each text the index of its first word (one more than texts)."""
+    word = ~gaps[data]
     first, last = word.copy(), word.copy()
     if data.size:
         first[1:] &= ~word[:-1]
