@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from . import frames
 
-#: Cuts remembered by a worker, and the longest of these (in characters): some 40 MB.
-CACHE, CACHE_CHARS = 1 << 18, 32
+#: Cuts remembered by a worker before the older half that wasn't met again goes, and the longest of these (in characters): some 110 MB.
+CACHE, CACHE_CHARS = 1 << 19, 32
 #: Characters of text whose ids leave a worker together; a longer text leaves alone.
 BATCH_CHARS = 1 << 22
 #: Cuts that are held at a time.
@@ -43,17 +43,21 @@ ENCODED, DECODED = "doc_id long, n_tokens long, ids binary", "doc_id long, n_tok
 class RankQueue:
     """Places by rank: a bucket for each rank, a bit for each bucket that holds something, and a bit for each word of such bits."""
 
+    #: Bits in a word.
     WORD = 256
 
     def __init__(self, ranks: int):
         self.words, self.top = [0] * -(-ranks // self.WORD), 0
         self.buckets: dict[int, list | array] = {}
+        #: A rank's word, the word's bit, and its own bit.
+        self.at = [(r >> 8, 1 << (r >> 8), 1 << (r & 255)) for r in range(ranks)]
 
     def add(self, rank: int, places: list | array) -> None:
         """A new bucket."""
         self.buckets[rank] = places
-        self.words[rank >> 8] |= 1 << (rank & 255)
-        self.top |= 1 << (rank >> 8)
+        word, above, bit = self.at[rank]
+        self.words[word] |= bit
+        self.top |= above
 
     def take(self) -> tuple[int, list | array]:
         """The least rank that has places, and its bucket, which is then empty; -1 if there is none."""
@@ -62,11 +66,10 @@ class RankQueue:
             return -1, []
         word = (top & -top).bit_length() - 1
         bits = self.words[word]
-        low = bits & -bits
-        self.words[word] = bits = bits ^ low
-        if not bits:
+        self.words[word] = rest = bits & (bits - 1)
+        if not rest:
             self.top = top & (top - 1)
-        rank = word << 8 | low.bit_length() - 1
+        rank = word << 8 | (bits ^ rest).bit_length() - 1
         return rank, self.buckets.pop(rank)
 
 
@@ -77,20 +80,28 @@ def _compact(places) -> array:
 def merge(cut: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     """The ids of a cut: parts joined by least rank, leftmost first, until no two neighbours have one. The queue is left empty."""
     n = len(cut)
-    box = list if n < LONG else _compact  # 20 bytes for each byte of a long cut
+    box = list if n < LONG else _compact  # some 20 bytes for each byte of a long cut
     after, before, rank_at = box(range(1, n + 1)), box(range(-1, n - 1)), box([-1]) * n
-    known, buckets, add, take = ranks.get, queue.buckets, queue.add, queue.take
+    known, buckets, words, at, top = ranks.get, queue.buckets, queue.words, queue.at, 0
+    # What RankQueue.add and .take do stands here in full: calls would take a third of the time of short cuts.
     for p in range(n - 1):
-        if (rank := known(cut[p : p + 2])) is not None:
-            rank_at[p] = rank
-            if rank in buckets:
-                buckets[rank].append(p)
+        if (new := known(cut[p : p + 2])) is not None:
+            rank_at[p] = new
+            if new in buckets:
+                buckets[new].append(p)
             else:
-                add(rank, box((p,)))
-    while True:
-        rank, places = take()
-        if rank < 0:
-            break
+                buckets[new] = box((p,))
+                word, above, bit = at[new]
+                words[word] |= bit
+                top |= above
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = words[word]
+        words[word] = rest = bits & (bits - 1)
+        if not rest:
+            top &= top - 1
+        rank = word << 8 | (bits ^ rest).bit_length() - 1
+        places = buckets.pop(rank)
         if len(places) > 1:
             places = _in_order(places)
         for i, p in enumerate(places):
@@ -107,7 +118,10 @@ def merge(cut: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
                     if new in buckets:
                         buckets[new].append(p)
                     else:
-                        add(new, box((p,)))
+                        buckets[new] = box((p,))
+                        word, above, bit = at[new]
+                        words[word] |= bit
+                        top |= above
             if p:
                 o = before[p]
                 if (new := known(cut[o:end])) is None:
@@ -117,10 +131,17 @@ def merge(cut: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
                     if new in buckets:
                         buckets[new].append(o)
                     else:
-                        add(new, box((o,)))
-                    least = min(least, new)
+                        buckets[new] = box((o,))
+                        word, above, bit = at[new]
+                        words[word] |= bit
+                        top |= above
+                    if new < least:
+                        least = new
             if least < rank and i + 1 < len(places):  # pairs of a lesser rank go before the rest of this bucket
-                add(rank, places[i + 1 :])
+                buckets[rank] = places[i + 1 :]
+                word, above, bit = at[rank]
+                words[word] |= bit
+                top |= above
                 break
     ids, p = [], 0
     while p < n:
@@ -184,16 +205,19 @@ class Codec(dict):
 
         super().__init__()
         self.ranks, self.pattern = read_ranks(path), pattern
+        self.older: dict[str, bytes] = {}
         self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.plain, self.exact = regex.compile(pattern, regex.V1), None
         self.bytes = {rank: token for token, rank in self.ranks.items()}
 
     def __missing__(self, cut: str) -> bytes:
-        said = cut.encode()
-        whole = self.ranks.get(said)
-        ids = array("I", merge(said, self.ranks, self.queue) if whole is None else (whole,)).tobytes()
+        if (ids := self.older.get(cut)) is None:
+            said = cut.encode()
+            whole = self.ranks.get(said)
+            ids = array("I", merge(said, self.ranks, self.queue) if whole is None else (whole,)).tobytes()
         if len(cut) <= CACHE_CHARS:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
                 self.clear()
             self[cut] = ids
         return ids
