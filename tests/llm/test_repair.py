@@ -154,3 +154,15 @@ def test_query_is_the_search(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     names = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
     assert sorted((tuple(r) for r in queries.op13_conversation_repair(spark, "/root/testdata/sf0.001").select(*names).collect()), key=str) == expected(rows)
+
+
+def test_sql_is_the_search():
+    import pandas as pd
+
+    from tests.llm import duck
+
+    rnd = random.Random(17)
+    rows = [(None if c == 7 else c, *r) for c, *r in made(rnd, 80)]
+    names, found = duck.rows(repair.ORACLE, conversations=pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    order = [names.index(n) for n in ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")]
+    assert sorted((tuple(r[i] for i in order) for r in found), key=str) == expected(rows)

@@ -90,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_suffix_array_dedup": sqltext.SUFFIX_DEDUP,
         "op10_substring_dedup": line_dedup.ORACLE,
         "op12_lexical_rank": sparse_rank.ORACLE,
+        "op13_conversation_repair": repair.ORACLE,
     }

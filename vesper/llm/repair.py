@@ -265,3 +265,60 @@ def report(plans: DataFrame, made: DataFrame) -> DataFrame:
     found = digests(made).alias("d")
     met = plans.drop("slices").alias("p").join(found, F.col("p.conv_id").eqNullSafe(F.col("d.conv_id")), "left")
     return met.select("p.*", F.coalesce("d.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _oracle() -> str:
+    """report(*repair(damaged(conversations))) by DuckDB. A state is a string: its cost in twelve digits, then its audit."""
+
+    def then(state: str, cost: str | int, letters: str) -> str:
+        return f"(lpad((({state})[1:12]::bigint + {cost})::varchar, 12, '0') || ({state})[13:] || {letters})"
+
+    never, more = "'900000000000'", f"case when x.truncated then {TRUNCATED} else 0 end"
+    due = "least(a.q0, a.q1, a.q3)"
+
+    def fields(q0: str, q1: str, q2: str, q3: str) -> str:
+        return f"{{'q0': {q0}, 'q1': {q1}, 'q2': {q2}, 'q3': {q3}, 'gap': true, 'initial': '', 'free': false, 'truncated': false}}"
+
+    def stays(state: str, initial: str, other: str) -> str:
+        return f"case when not x.free then {never} when x.initial = '{initial}' then {then(state, more, repr('K'))} else {then(state, f'{more} + {REROLE}', repr(other))} end"
+
+    opened = fields(
+        "a.q0", "a.q1", "least(a.q2, " + ", ".join(then(f"a.{q}", INSERT, "'I'") for q in ("q0", "q1", "q3")) + ")",
+        f"least(a.q3, {then('a.q2', INSERT, repr('J'))}, " + ", ".join(then(f"a.{q}", 2 * INSERT, "'IJ'") for q in ("q0", "q1")) + ")",
+    )
+    gone = [then(f"a.q{i}", DELETE, "'D'") for i in range(4)]
+    system = f"case when x.free and x.initial = 's' then {then('a.q0', more, repr('K'))} else {never} end"
+    row = fields(gone[0], f"least({gone[1]}, {system})", f"least({gone[2]}, {stays(due, 'u', 'R')})", f"least({gone[3]}, {stays('a.q2', 'a', 'S')})")
+    begin = fields("'000000000000'", never, never, never)
+    gap = fields("''", "''", "''", "''")
+    return rf"""
+with crc as (select list(c order by i) as crcs from (select i, list_reduce(range(8), lambda c, k: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end), i) as c from range(256) t(i))),
+plain as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as place from conversations),
+coded as (select *, xor(list_reduce(list_transform(string_split(place, ''), lambda x: ord(x)::bigint), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 as code from plain, crc),
+broken as (
+  select conv_id, turn, case when code = 4 then 'user' else role end as role, case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from coded, range(2) copies(copy) where code <> 0 and (copy = 0 or code = 3)
+), placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as nth from broken),
+marked as (
+  select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, row_number() over (partition by conv_id, role, text order by nth) > 1 as seen,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) not in ('.', '!', '?') as cut, lag(left(role, 1)) over (partition by conv_id order by nth) || left(role, 1) as pair from placed
+), folded as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (blank) as blank, count(*) filter (seen and not blank) as duplicate,
+    count(*) filter (cut and not blank and not seen) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, list({{'role': role, 'text': text}} order by nth) as said,
+    list_reduce(flatten(list([{gap}, {gap.replace("'gap': true", "'gap': false").replace("'initial': ''", "'initial': left(role, 1)").replace("'free': false", "'free': not blank and not seen").replace("'truncated': false", "'truncated': cut")}] order by nth)) || [{gap}],
+      lambda a, x: case when x.gap then {opened} else {row} end, {begin}) as ends
+  from marked group by conv_id
+), chosen as (select *, least(ends.q0, ends.q3) as best from folded),
+worded as (select *, best[13:] as audit_, regexp_extract_all(best[13:], '[IJ]*[DKRS]') as words, regexp_extract(best[13:], '[IJ]*$') as tail from chosen),
+lined as (
+  select *, flatten(list_transform(list_zip(words, said), lambda z: list_transform(string_split(z[1], ''), lambda c: case c when 'I' then 'user:' when 'J' then 'assistant:'
+    when 'K' then z[2].role || ':' || z[2].text when 'R' then 'user:' || z[2].text when 'S' then 'assistant:' || z[2].text end)))
+    || list_transform(string_split(tail, ''), lambda c: case c when 'I' then 'user:' when 'J' then 'assistant:' end) as lines from worded
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best[1:12]::bigint, 0) as cost, coalesce(translate(audit_, 'JS', 'IR'), '') as audit, sha256(coalesce(array_to_string(list_filter(lines, lambda l: l is not null), chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join lined l on o.conv_id is not distinct from l.conv_id
+"""
+
+
+ORACLE = _oracle()
