@@ -255,8 +255,8 @@ class Monitor:
         return self._online.size()
 
     def total_bytes(self) -> int:
-        """Bytes of the samples held: a time and a value of eight bytes each."""
-        return 16 * self.total_size()
+        """Bytes of the state: the samples held and the rows of open windows."""
+        return self._online.bytes()
 
     def __str__(self) -> str:
         lines = ["STL Monitor Configuration:", f"  Specification: {self.formula}", f"  Algorithm: {self.algorithm}", f"  Semantics: {self.semantics}"]

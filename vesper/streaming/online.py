@@ -1,16 +1,23 @@
 """Verdicts as samples come in, for one trace: what the local monitor and the streaming processor share.
 
 State is the samples that open verdicts can still need: those after the last final verdict, and one before them
-per signal for holding and interpolation. So it is bounded by the formula's depth, whatever the trace's length.
+per signal for holding and interpolation. So it is bounded by the formula's depth, whatever the trace's length. Delayed verdicts
+come from incremental nodes over these samples, at amortized constant work a sample; a sample that is earlier than another signal's
+changes what was held between, so the nodes are filled anew from the kept samples. Eager verdicts and intervals
+are evaluated over the kept samples.
 """
 
 from __future__ import annotations
 
+import sys
+from collections import deque
+
 import numpy as np
 
 from ..operators.kernels import NEVER
 from ..operators.trace import EAGER, QUALITATIVE, ROSI, Evaluator, synchronized
 from ..plans.formula import Formula, normalize
+from .incremental import Delayed
 
 
 class Online:
@@ -21,31 +28,65 @@ class Online:
         self.reset()
 
     def reset(self) -> None:
-        self.samples: dict[str, list[tuple[int, float]]] = {n: [] for n in self.names}
+        self.samples: dict[str, deque[tuple[int, float]]] = {n: deque() for n in self.names}
         self.last: dict[str, int] = {}
         #: Verdicts up to this time have been given for good.
         self.done = -1
+        self.found: list[tuple] = []
+        self._fill()
+
+    def _fill(self) -> None:
+        """Incremental nodes as the kept samples make them."""
+        self.nodes = None if self.naive or self.semantics in (EAGER, ROSI) else Delayed(self.formula, self.semantics, self.synchronization)
+        if self.nodes is not None:
+            kept = sorted((t, n, v) for n, s in self.samples.items() for t, v in s)
+            self.found = [o for t, n, v in kept for o in self.nodes.feed(n, v, t) if o[0] > self.done]
 
     def state(self) -> tuple:
-        return self.samples, self.last, self.done
+        return {n: list(s) for n, s in self.samples.items()}, self.last, self.done
 
     def restore(self, state: tuple) -> None:
-        self.samples, self.last, self.done = state
+        samples, self.last, self.done = state
+        self.samples = {n: deque(s) for n, s in samples.items()}
+        self._fill()
 
     def size(self) -> int:
         return sum(map(len, self.samples.values()))
 
+    def bytes(self) -> int:
+        """Bytes of what is held: samples, and the incremental nodes' rows."""
+        seen: set[int] = set()
+
+        def of(x) -> int:
+            if id(x) in seen:
+                return 0
+            seen.add(id(x))
+            parts = x.items() if isinstance(x, dict) else x if isinstance(x, (list, tuple, deque)) else vars(x).values() if type(x).__module__ == Delayed.__module__ else ()
+            return sys.getsizeof(x) + sum(map(of, parts))
+
+        return of(self.samples) + of(self.last) + (sum(map(of, (self.nodes.state, self.nodes.waiting, self.nodes.last))) if self.nodes is not None else 0)
+
     def add(self, signal: str, value: float, t: int) -> bool:
         """Keeps a sample, unless its signal has reached its time already."""
         if t <= self.last.get(signal, -1) or value is None or np.isnan(value):
             return False
         self.last[signal] = t
         if signal in self.samples or not self.names:
-            self.samples.setdefault(signal, []).append((t, float(value)))
+            self.samples.setdefault(signal, deque()).append((t, float(value)))
+            if self.nodes is not None and t < self.nodes.now and (self.nodes.aligned or self.nodes.constant):
+                self._fill()
+            elif self.nodes is not None:
+                self.found += self.nodes.feed(signal, float(value), t)
         return True
 
     def emit(self) -> list[tuple]:
         """(t, value) or (t, lo, hi) that the samples so far decide and that have not been given yet, in order of time."""
+        if self.nodes is not None:
+            out, self.found = [(t, v if self.semantics == QUALITATIVE else v + 0.0) for t, v in self.found if t > self.done], []
+            if out:
+                self.done = out[-1][0]
+                self.prune()
+            return out
         arrays = {n: (np.array([t for t, _ in s], dtype=np.int64), np.array([v for _, v in s], dtype=np.float64)) for n, s in self.samples.items()}
         made = Evaluator(synchronized(arrays, self.synchronization), self.semantics, self.naive, growing=True)
         rows, upto = made.rows(self.formula), made.frontier(self.formula)
@@ -68,6 +109,6 @@ class Online:
         return out
 
     def prune(self) -> None:
-        for name, s in self.samples.items():
-            first = next((i for i, (t, _) in enumerate(s) if t > self.done), len(s))
-            self.samples[name] = s[max(0, first - 1) :]
+        for s in self.samples.values():
+            while len(s) > 1 and s[1][0] <= self.done:
+                s.popleft()
