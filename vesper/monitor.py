@@ -185,7 +185,7 @@ class Monitor:
         return processor.monitor_stream(signals, self.formula.bound(dict(self.variables)), self.semantics, self.synchronization, log)
 
     def emissions(self, signals: DataFrame) -> DataFrame:
-        """The emission log of a signals table: what ``update`` gives, sample by sample."""
+        """The emission log of a signals table: what ``update`` gives, sample by sample; of intervals, those that narrowed."""
         from .streaming import processor
 
         return processor.emission_log(signals, self.formula.bound(dict(self.variables)), self.semantics, self.synchronization)

@@ -33,6 +33,8 @@ class Online:
         #: Verdicts up to this time have been given for good.
         self.done = -1
         self.found: list[tuple] = []
+        #: Open intervals as they were given last.
+        self.given = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
         self._fill()
 
     def _fill(self) -> None:
@@ -49,6 +51,10 @@ class Online:
         samples, self.last, self.done = state
         self.samples = {n: deque(s) for n, s in samples.items()}
         self._fill()
+        if self.semantics == ROSI and self.size():
+            done = self.done
+            self.emit(changes=True)  # what the kept samples say was given before
+            self.done = done
 
     def size(self) -> int:
         return sum(map(len, self.samples.values()))
@@ -79,8 +85,11 @@ class Online:
                 self.found += self.nodes.feed(signal, float(value), t)
         return True
 
-    def emit(self) -> list[tuple]:
-        """(t, value) or (t, lo, hi) that the samples so far decide and that have not been given yet, in order of time."""
+    def emit(self, changes: bool = False) -> list[tuple]:
+        """(t, value) or (t, lo, hi) that the samples so far decide and that have not been given yet, in order of time.
+
+        Open intervals are given again each time; with ``changes`` only those that narrowed since.
+        """
         if self.nodes is not None:
             out, self.found = [(t, v if self.semantics == QUALITATIVE else v + 0.0) for t, v in self.found if t > self.done], []
             if out:
@@ -92,8 +101,13 @@ class Online:
         rows, upto = made.rows(self.formula), made.frontier(self.formula)
         new = rows.t > self.done
         if self.semantics == ROSI:
-            out = list(zip(rows.t[new].tolist(), (rows.a[new] + 0.0).tolist(), (rows.b[new] + 0.0).tolist(), strict=True))
-            final = rows.t[new & (rows.t <= upto)]
+            say, final = new, rows.t[new & (rows.t <= upto)]
+            if changes:
+                t, lo, hi = self.given
+                at = np.minimum(np.searchsorted(t, rows.t), max(t.size - 1, 0))
+                say = new & ~((t[at] == rows.t) & (lo[at] == rows.a) & (hi[at] == rows.b)) if t.size else new
+                self.given = rows.t[new], rows.a[new], rows.b[new]
+            out = list(zip(rows.t[say].tolist(), (rows.a[say] + 0.0).tolist(), (rows.b[say] + 0.0).tolist(), strict=True))
         else:
             if self.semantics == EAGER:
                 when = np.maximum.accumulate(np.where(new, rows.b, -1)) if rows.t.size else rows.b

@@ -1,10 +1,12 @@
-"""A streaming signals table to a stream of emissions, by arbitrary state per trace.
+"""A streaming signals table to a stream of emissions, by arbitrary state per trace; and the emission log of a table.
 
 State is an Online monitor's samples, bounded by the formula's depth; late samples are dropped by signal. Delayed
-and eager verdicts are each given once; interval refinements are given again with every micro-batch.
+and eager verdicts are each given once; an interval is given when it first stands and when it narrows.
 
 An emission log has every emission as it came: the time of the sample that brought it (emitted_at) and its number in its
-trace (seq). It is made sample by sample, over a stream or a table; sources.signals.latest and nested read it.
+trace (seq); sources.signals.latest and nested read it. For a table without an order of arrival, samples come by time, and the log of delayed
+verdicts (and of eager ones over one signal) is the planner's verdicts joined, by windows, with the times at which they became
+final. Else it is made sample by sample by the streaming state.
 """
 
 from __future__ import annotations
@@ -14,10 +16,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
+from ..operators import sync
 from ..operators.trace import EAGER, QUALITATIVE, ROSI
-from ..plans.formula import Formula
+from ..plans import planner
+from ..plans.formula import Formula, micros, normalize
 from .online import Online
 
 
@@ -34,14 +40,49 @@ def _emissions(monitor: Online, rows: pd.DataFrame, trace, seq: int) -> list[tup
     out = []
     for signal, x, t in zip(rows["signal"], rows["value"], rows["t"], strict=True):
         if monitor.add(signal, x, int(t)):
-            for o in monitor.emit():
+            for o in monitor.emit(changes=True):
                 seq += 1
                 out.append((trace, int(t), seq, *o))
     return out
 
 
+def reaches(formula: Formula) -> dict[str | None, int]:
+    """How far past t each signal must be known for the verdict at t; None: the latest of all signals, for constants."""
+    found: dict[str | None, int] = {}
+
+    def go(node: Formula, above: int) -> None:
+        if not node.parts:
+            name = None if node.kind in ("true", "false") else node.args[0]
+            found[name] = max(found.get(name, 0), above)
+        for p in node.parts:
+            go(p, above + (micros(node.args[1]) if node.kind in ("always", "eventually", "until") else 0))
+
+    go(normalize(formula), 0)
+    return found
+
+
+def _log_by_time(signals: DataFrame, formula: Formula, semantics: str, synchronization: str) -> DataFrame:
+    """The log of a table whose samples come by time: a verdict comes with the first sample that makes it final."""
+    rows, names = sync.drop_late(signals), formula.signals()
+    seq = F.row_number().over(Window.partitionBy("trace").orderBy("t")).cast("long").alias("seq")
+    verdicts = planner.verdicts(rows, formula, semantics, synchronization)
+    if semantics == EAGER:
+        return verdicts.select("trace", F.col("decided_at").alias("emitted_at"), seq, "t", "value")
+    so_far = Window.partitionBy("trace").orderBy("t", "signal").rowsBetween(Window.unboundedPreceding, 0)
+    known = [F.max(F.when(F.col("signal") == n, F.col("t")) if n is not None else F.col("t")).over(so_far) - d for n, d in reaches(formula).items()]
+    rows = (rows.where(F.col("signal").isin(*names)) if names else rows).select("trace", "t", F.array_min(F.array(*known)).alias("upto"), F.forall(F.array(*known), lambda x: x.isNotNull()).alias("all"))
+    comes = rows.where("all").groupBy("trace", "upto").agg(F.min("t").alias("emitted_at"))
+    both = verdicts.select("trace", F.col("t").alias("upto"), F.lit(None).cast("long").alias("emitted_at"), "t", "value").unionByName(comes, allowMissingColumns=True)
+    # From the latest back, so that the frame only grows; of equal times the sample is first.
+    back = Window.partitionBy("trace").orderBy(F.desc("upto"), F.col("t").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("emitted_at", F.last("emitted_at", ignorenulls=True).over(back)).where("t is not null and emitted_at is not null")
+    return met.select("trace", "emitted_at", seq, "t", "value")
+
+
 def emission_log(signals: DataFrame, formula: Formula, semantics: str, synchronization: str) -> DataFrame:
     """(trace, emitted_at, seq, t, value or lo, hi) of a signals table, as its samples come by arrival_seq or time."""
+    if "arrival_seq" not in signals.columns and semantics != ROSI and (semantics != EAGER or len(formula.signals()) == 1):
+        return _log_by_time(signals, formula, semantics, synchronization)
     kind, order = signals.schema["trace"].dataType.simpleString(), _in_order(signals)
     schema = f"trace {kind}, emitted_at long, seq long, t long, {_columns(semantics)}"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -70,7 +111,7 @@ def monitor_stream(signals: DataFrame, formula: Formula, semantics: str, synchro
         else:
             for signal, x, t in zip(rows["signal"], rows["value"], rows["t"], strict=True):
                 monitor.add(signal, x, int(t))
-            out = [(key[0], *o) for o in monitor.emit()]
+            out = [(key[0], *o) for o in monitor.emit(changes=True)]
         state.update((json.dumps((monitor.state(), seq + len(out))),))
         if out:
             yield pd.DataFrame(out, columns=names)
