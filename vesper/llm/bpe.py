@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from . import frames
 
-#: Cuts remembered by a worker before the older half that wasn't met again goes, and the longest of these (in characters): some 110 MB.
-CACHE, CACHE_CHARS = 1 << 19, 32
+#: Cuts remembered by a worker before the older half that wasn't met again goes, and the longest of these (in characters): some 220 MB.
+CACHE, CACHE_CHARS = 1 << 20, 32
 #: Characters of text whose ids leave a worker together; a longer text leaves alone.
 BATCH_CHARS = 1 << 22
 #: Cuts that are held at a time.
