@@ -228,3 +228,80 @@ def test_parser_forms():
             parse_stl(bad, strict=True)
     assert normalize(parse_stl("x > 0 -> x > 1")) is parse_stl("!(x > 0) or x > 1")
     assert parse_stl("G[0,2.5](x > 3)").get_signal_identifiers() == ["x"] and parse_stl("x > $b").get_variable_identifiers() == ["b"]
+
+
+@pytest.mark.parametrize("synchronization", ["ZeroOrderHold", "Linear", "None"])
+@pytest.mark.parametrize("semantics", ["DelayedQuantitative", "DelayedQualitative", "Rosi"])
+def test_buckets_are_the_whole_trace(spark, synchronization, semantics):
+    rnd = random.Random(f"{synchronization} {semantics}")
+    data = samples(spark, rnd, "xyz", traces=3).cache()
+    for k in range(3):
+        f = formula(rnd, 2, "xy")
+        f = Formula.eventually(0, 2, f)
+        options = {"closure": "frontier"} if k == 1 else {"grid": "all"} if k == 2 else {}
+        want = rows(planner.verdicts(data, f, semantics, synchronization, strategy="kernel", **options))
+        for strategy in ("window", "kernel"):
+            assert rows(planner.verdicts(data, f, semantics, synchronization, bucket=f.depth / 1e6 + k, strategy=strategy, **options)) == want, str(f)
+
+
+def test_late_samples_are_dropped_in_pieces(spark):
+    rnd = random.Random(21)
+    data = [(f"tr{k % 2}", rnd.choice("xy"), i * 1000 - rnd.choice([0, 0, 0, 3000, 50_000]), float(i), i) for k in range(4) for i in range(200)]
+    frame = spark.createDataFrame(data + [("tr0", "x", 10**9, 1.0, None)], SCHEMA + ", arrival_seq long")
+    want = rows(sync.drop_late(frame))
+    assert 0 < len(want) < len(data)
+    for run in (1, 7, 64, 10_000):
+        assert rows(sync.drop_late(frame, run)) == want
+    f = parse_stl("G[0,0.01](x > 3 or y > 5)")
+    assert rows(planner.verdicts(frame, f, bucket=0.05, arrivals=16)) == rows(planner.verdicts(frame, f)) != []
+
+
+def test_a_hot_trace_of_two_signals_is_spread_over_tasks(spark):
+    data = spark.range(12_000).selectExpr("if(id % 3 > 0, 'hot', concat('t', id % 100)) as trace", "if(id % 2 = 0, 'x', 'y') as signal", "id * 1000000 as t", "cast(id % 7 as double) as value")
+    f = parse_stl("G[0,10](x > 0 -> F[0,5](y > 3))")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for semantics in ("DelayedQuantitative", "Rosi"):
+            for strategy in ("window", "kernel"):
+                df = planner.verdicts(data, f, semantics, bucket=100.0, strategy=strategy)
+                tasks = df.groupBy(F.spark_partition_id()).agg(F.count_if(F.col("trace") == "hot").alias("n")).where("n > 0").collect()
+                assert len(tasks) > 3 and max(r.n for r in tasks) < 3000
+                assert rows(df) == rows(planner.verdicts(data, f, semantics))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_many_traces_at_a_time_are_each_by_itself(spark, monkeypatch):
+    rnd = random.Random(22)
+    data = samples(spark, rnd, "xy", traces=9, n=12).withColumn("t", F.col("t") + F.when(F.col("trace") == "tr3", 10**17).otherwise(1_700_000_000_000_000)).cache()
+    for semantics in ("DelayedQuantitative", "DelayedQualitative", "Rosi", "EagerQualitative"):
+        for _ in range(2):
+            f = formula(rnd, 2, "xy")
+            want = rows(planner.verdicts(data, f, semantics, strategy="kernel"))
+            for size in (1, 30):
+                monkeypatch.setattr(planner, "KERNEL_ROWS", size)
+                assert rows(planner.verdicts(data, f, semantics, strategy="kernel")) == want, str(f)
+            monkeypatch.setattr(planner, "KERNEL_ROWS", 1 << 18)
+            one = [r for k in range(9) for r in rows(planner.verdicts(data.where(f"trace = 'tr{k}'"), f, semantics, strategy="window"))]
+            assert sorted(one, key=str) == want, str(f)
+    monkeypatch.setattr(planner, "AXIS", 1 << 40)
+    assert rows(planner.verdicts(data, f, semantics, strategy="kernel")) == want
+
+
+def test_clustered_steps_of_a_timeline_cost_no_more_than_even_ones(spark):
+    import time
+
+    n = 20_000
+    data = spark.range(n).selectExpr("concat('tr', id % 50) as trace", "'x' as signal", "id * 1000000 as t", "cast(id % 9 as double) as value")
+    even = spark.range(n).selectExpr("id * 1000000 as t", "'limit' as name", "cast(id % 5 as double) as value")
+    clustered = spark.range(n).selectExpr("if(id = 0, 0L, 10000000000L + id) as t", "'limit' as name", "cast(id % 5 as double) as value")
+    f = parse_stl("x > $limit")
+    took = {}
+    for name, timeline in (("warm", even), ("even", even), ("clustered", clustered)):
+        began = time.perf_counter()
+        df = planner.verdicts(data, f, timeline=timeline)
+        assert df.count() == n
+        took[name] = time.perf_counter() - began
+    assert took["clustered"] < 3 * took["even"] + 1
+    late = planner.verdicts(data, f, timeline=clustered).where("t > 10000020000").agg(F.countDistinct(F.col("value") - F.col("t") / 1_000_000 % 9).alias("n")).first().n
+    assert late == 1  # all samples after the cluster see its last step

@@ -1,4 +1,7 @@
-"""A formula over the samples of one trace, in numpy: the kernel behind long windows, streaming and the local monitor.
+"""A formula over the samples of one trace or of many, in numpy: the kernel behind long windows, streaming and the local monitor.
+
+Many traces are evaluated at once on one axis of times: each has a stretch of its own, further from the next than any
+window reaches, so what looks ahead finds its own trace's samples or none.
 
 Every node has rows (time, values) on its own grid. Values are, by semantics: quantitative a robustness; qualitative
 a truth; eager a truth and the time of its decision; rosi the ends of an interval. Missing samples have no row.
@@ -31,12 +34,20 @@ def _aligned(left: Rows, right: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Evaluator:
-    """Evaluates normalized, bound formulas over ``samples`` (signal -> (times, values), times increasing)."""
+    """Evaluates normalized, bound formulas over ``samples`` (signal -> (times, values), times increasing).
+
+    ``bases``: where each trace's stretch of the axis begins; one trace by default. ``newest``: for parts of traces, the time of the
+    whole trace's last sample by node and stretch.
+    """
 
-    def __init__(self, samples: dict[str, tuple[np.ndarray, np.ndarray]], semantics: str, naive: bool = False, ignore_start: bool = False, growing: bool = False):
+    def __init__(
+        self, samples: dict[str, tuple[np.ndarray, np.ndarray]], semantics: str, naive: bool = False, ignore_start: bool = False, growing: bool = False,
+        bases: np.ndarray | None = None, newest: dict[int, np.ndarray] | None = None, grid: np.ndarray | None = None,
+    ):
+        self.bases, self.newest = bases, newest or {}
         self.samples, self.semantics, self.naive, self.ignore_start, self.growing = samples, semantics, naive, ignore_start, growing
         times = [t for t, _ in samples.values()]
-        self.grid = np.unique(np.concatenate(times)) if times else np.zeros(0, np.int64)
+        self.grid = grid if grid is not None else np.unique(np.concatenate(times)) if times else np.zeros(0, np.int64)
         self.now = int(self.grid[-1]) if self.grid.size else -1
         self.done: dict[int, Rows] = {}
 
@@ -51,6 +62,29 @@ class Evaluator:
         keep = found.t + node.depth <= self.now
         return Rows(found.t[keep], found.a[keep])
 
+    def owner(self, t: np.ndarray) -> np.ndarray:
+        """The stretch that each time is in."""
+        return np.zeros(t.size, dtype=np.int64) if self.bases is None else np.searchsorted(self.bases, t, side="right") - 1
+
+    def last(self, t: np.ndarray) -> np.ndarray:
+        """Of increasing times the last of each stretch, or -1."""
+        ends = np.array([t.size]) if self.bases is None else np.append(np.searchsorted(t, self.bases[1:]), t.size)
+        begins = np.concatenate([[0], ends[:-1]])
+        return np.where(ends > begins, t[np.maximum(ends - 1, 0)] if t.size else -1, -1)
+
+    def _open(self, node: Formula, t: np.ndarray) -> np.ndarray:
+        """Whether windows of rows at t reach beyond their trace's newest row."""
+        newest = self.newest[node.key] if node.key in self.newest else self.last(t)
+        return t + node.depth > newest[self.owner(t)]
+
+    def _released(self, t: np.ndarray, when: np.ndarray) -> np.ndarray:
+        """In-order release within each trace: no row before those that come earlier."""
+        if not when.size or self.bases is None:
+            return np.maximum.accumulate(when) if when.size else when
+        limit = np.append(self.bases[1:] - 1, NEVER)[self.owner(t)]  # after all of its own trace, before all of the next
+        so_far = np.maximum.accumulate(np.where(when == NEVER, limit, when))
+        return np.where(so_far == limit, NEVER, so_far)
+
     def frontier(self, node: Formula) -> int:
         """The time up to which a node's values are final, if samples still come: each signal's last, less the windows above."""
         if node.kind in ("gt", "lt"):
@@ -120,7 +154,7 @@ class Evaluator:
         value = np.where(cx | cy, cut, not cut)
         when = np.where(cx & cy, np.minimum(dx, dy), np.where(cx, dx, np.where(cy, dy, np.maximum(dx, dy))))
         keep = (hx & hy) | cx | cy
-        return Rows(t[keep], value[keep], np.maximum.accumulate(when[keep]) if keep.any() else when[keep])
+        return Rows(t[keep], value[keep], self._released(t[keep], when[keep]))
 
     def _and(self, node):
         return self._join(node, False)
@@ -147,6 +181,8 @@ class Evaluator:
         """The first sample time at or after t + depth."""
         at = np.searchsorted(self.grid, t + node.depth, side="left")
         found = np.where(at < self.grid.size, self.grid[np.minimum(at, self.grid.size - 1)] if self.grid.size else 0, NEVER)
+        if self.bases is not None:
+            found = np.where(self.owner(found) == self.owner(t), found, NEVER)
         return np.where(t <= self.frontier(node), found, NEVER) if self.growing else found
 
     def _sweep(self, node: Formula, cut: bool) -> Rows:
@@ -157,15 +193,15 @@ class Evaluator:
             return Rows(x.t, self._extreme(x.t, x.a, node, cut))
         if self.semantics == ROSI:
             low, high = self._extreme(x.t, x.a, node, cut), self._extreme(x.t, x.b, node, cut)
-            open_ = x.t + node.depth > (x.t[-1] if x.t.size else 0)
+            open_ = self._open(node, x.t)
             return Rows(x.t, low if cut else np.where(open_, -INF, low), np.where(open_, INF, high) if cut else high)
         start, end = self._bounds(node)
         hit = (x.a == cut) & (x.b != NEVER)
-        soonest = kernels.extremes(np.where(hit, x.b, INF).astype(np.float64), *kernels.window(x.t, start, end), False, INF)
+        soonest = kernels.extremes(np.where(hit, x.b, NEVER), *kernels.window(x.t, start, end), False, NEVER)
         close = self.close(x.t, node)
-        early = np.isfinite(soonest)
-        when = np.where(early & (x.b != NEVER), np.minimum(close, np.maximum(x.b, np.where(early, soonest, 0).astype(np.int64))), close)
-        return Rows(x.t, np.where(early, cut, not cut), np.maximum.accumulate(when) if when.size else when)
+        early = soonest != NEVER
+        when = np.where(early & (x.b != NEVER), np.minimum(close, np.maximum(x.b, soonest)), close)
+        return Rows(x.t, np.where(early, cut, not cut), self._released(x.t, when))
 
     def _eventually(self, node):
         return self._sweep(node, True)
@@ -180,7 +216,7 @@ class Evaluator:
         t, i, j = _aligned(x, y)
         if self.semantics == EAGER:
             value, when = kernels.eager_until(t, x.a[i], x.b[i], y.a[j], y.b[j], start, end, self.close(t, node))
-            return Rows(t, value, np.maximum.accumulate(when) if when.size else when)
+            return Rows(t, value, self._released(t, when))
 
         def run(left, right):
             if self.naive:
@@ -201,7 +237,7 @@ class Evaluator:
         low = run(x.a[i], y.a[j])
         if self.semantics == QUANTITATIVE:
             return Rows(t, low)
-        open_ = t + node.depth > (t[-1] if t.size else 0)
+        open_ = self._open(node, t)
         return Rows(t, low, np.where(open_, INF, run(x.b[i], y.b[j])))
 
 

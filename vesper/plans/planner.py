@@ -6,16 +6,20 @@ share the exchange and the sort. Formulas with U go to the numpy kernel, whose c
 strategy can fold a frame's rows in order, if it is asked for, or for a timeline of thresholds); so does whatever asks for the kernel.
 
 Long traces: with ``bucket`` seconds (at least the formula's depth), each (trace, bucket) is evaluated by itself, with
-the samples up to a depth after it, by either strategy. A trace's end comes from a pre-aggregated join, and signals that needn't be
-aligned are never dealt by trace, so one trace with a third of all rows is spread over many tasks.
+the samples up to a depth after it, by either strategy: delayed verdicts and intervals. Signals are aligned bucket by bucket too (see
+sync), and what a bucket must know of its whole trace (where it ends) comes from a summary row per bucket, so one
+trace with a third of all rows is spread over many tasks, whatever the synchronization. ``arrivals`` does the same for late samples.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,8 +30,8 @@ from ..operators.trace import EAGER, QUALITATIVE, QUANTITATIVE, ROSI, SEMANTICS,
 from .formula import Formula, micros, normalize
 
 INF = float("inf")
-#: Steps of a variable timeline without traces to a stretch of time, on average.
-PER_STRETCH = 50
+#: Pieces of time (a power of two) in which a variable timeline without traces meets samples, and parts of each by trace.
+PIECES, SALTS = 256, 4
 TYPES = {QUANTITATIVE: "value double", QUALITATIVE: "value boolean", EAGER: "value boolean, decided_at long", ROSI: "lo double, hi double"}
 
 
@@ -45,6 +49,8 @@ class Compiler:
         self.over = Window.partitionBy(*keys)
         self.ordered = self.over.orderBy("t")
         self.thresholds = thresholds
+        #: Columns of the whole trace's newest times, if rows are parts of traces.
+        self.newest: dict[int, str] = {}
         self.nodes: dict[int, Node] = {}
 
     def compile(self, root: Formula) -> Node:
@@ -118,6 +124,10 @@ class Compiler:
         so_far = F.max(F.when(member, F.coalesce(when, F.lit(NEVER)))).over(self.ordered.rowsBetween(Window.unboundedPreceding, 0))
         return F.when(so_far < NEVER, so_far)
 
+    def _newest(self, node: Formula, member: Column) -> Column:
+        """The last time of the whole trace at which the node's operands have rows."""
+        return F.col(self.newest[node.key]) if self.newest else F.max(F.when(member, F.col("t"))).over(self.over)
+
     def _eager_join(self, x: Node, y: Node, cut: bool) -> Node:
         (vx, dx), (vy, dy) = x.columns, y.columns
         cx = x.member & dx.isNotNull() & (vx == F.lit(cut))
@@ -145,8 +155,7 @@ class Compiler:
             return Node((extreme(x.columns[0], empty),), x.member)
         if self.semantics == ROSI:
             lo, hi = (extreme(c, empty) for c in x.columns)
-            newest = F.max(F.when(x.member, t)).over(self.over)
-            still_open = t + F.lit(node.depth) > newest
+            still_open = t + F.lit(node.depth) > self._newest(node, x.member)
             return Node((lo, F.when(still_open, F.lit(INF)).otherwise(hi)) if cut else (F.when(still_open, F.lit(-INF)).otherwise(lo), hi), x.member)
         value, when = x.columns
         soonest = F.min(F.when(x.member & when.isNotNull() & (value == F.lit(cut)), when)).over(frame)
@@ -182,12 +191,11 @@ class Compiler:
 
         found = tuple(fold(a, b) for a, b in zip(x.columns, y.columns, strict=True))
         if self.semantics == ROSI:
-            newest = F.max(F.when(both, t)).over(self.over)
-            found = (found[0], F.when(t + F.lit(node.depth) > newest, F.lit(INF)).otherwise(found[1]))
+            found = (found[0], F.when(t + F.lit(node.depth) > self._newest(node, both), F.lit(INF)).otherwise(found[1]))
         return Node(found, both)
 
 
-def _with_timeline(table: DataFrame, formula: Formula, timeline: DataFrame | None) -> tuple[DataFrame, dict[str, Column]]:
+def _with_timeline(table: DataFrame, rows: DataFrame, formula: Formula, timeline: DataFrame | None) -> tuple[DataFrame, dict[str, Column]]:
     """The table with a column per free variable: its last value at or before a row's time, null before the first."""
     names = formula.variables()
     if not names:
@@ -202,21 +210,37 @@ def _with_timeline(table: DataFrame, formula: Formula, timeline: DataFrame | Non
         merged = merged.groupBy("trace", "t").agg(*[F.max(c).alias(c) for c in merged.columns if c not in ("trace", "t")])
         merged = merged.select(*[c for c in merged.columns if not (c[0] == "v" and c[1:].isdigit())], *[F.last(f"v{i}", ignorenulls=True).over(past).alias(f"v{i}") for i in range(len(names))])
         return merged.where("_row").drop("_row"), {n: F.col(f"v{i}") for i, n in enumerate(names)}
-    # Steps by stretches of time, some PER_STRETCH each, with what held before each stretch: samples meet their stretch alone.
-    lo, hi, n = timeline.agg(F.min("t"), F.max("t"), F.count("*")).first()
-    if not n:
-        return table.withColumns({f"v{i}": F.lit(None).cast("double") for i in range(len(names))}), {v: F.col(f"v{i}") for i, v in enumerate(names)}
-    stretches = n // PER_STRETCH + 1
-    width = (hi - lo) // stretches + 1
-    of = F.least(F.floor((F.col("t") - lo) / width), F.lit(stretches - 1)).cast("long")
-    steps = timeline.groupBy("t", "name").agg(F.max("value").alias("value")).withColumn("_stretch", of)
-    own = [(F.sort_array(F.collect_list(F.when(F.col("name") == v, F.struct("t", "value")))).alias(f"a{i}"), F.max_by(F.when(F.col("name") == v, F.col("value")), F.when(F.col("name") == v, F.col("t"))).alias(f"z{i}")) for i, v in enumerate(names)]
-    steps = timeline.sparkSession.range(stretches).withColumnRenamed("id", "_stretch").join(steps.groupBy("_stretch").agg(*[c for pair in own for c in pair]), "_stretch", "left")
-    earlier = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
-    steps = steps.select("_stretch", *[f"a{i}" for i in range(len(names))], *[F.last(f"z{i}", ignorenulls=True).over(earlier).alias(f"b{i}") for i in range(len(names))])
-    met = table.withColumn("_stretch", F.when(F.col("t") >= lo, of)).join(steps, "_stretch", "left")
-    last = [F.coalesce(F.try_element_at(F.filter(f"a{i}", lambda s: s["t"] <= F.col("t")), F.lit(-1))["value"], F.col(f"b{i}")).alias(f"v{i}") for i in range(len(names))]
-    return met.select(*table.columns, *last), {v: F.col(f"v{i}") for i, v in enumerate(names)}
+    # Steps and samples meet by pieces of time with about as many rows each; what held before a piece is carried to it.
+    steps = timeline.groupBy("t").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(f"v{i}") for i, n in enumerate(names)])
+    bounds = _bounds(rows.select("t").union(timeline.select("t")))
+    steps = _with_piece(steps, bounds)
+    last = [F.max_by(F.struct(f"v{i}"), F.when(F.col(f"v{i}").isNotNull(), F.col("t")))[f"v{i}"].alias(f"b{i}") for i in range(len(names))]
+    sums = steps.groupBy("_piece").agg(*last)
+    earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # over PIECES rows at most
+    every = timeline.sparkSession.range(PIECES).select(F.col("id").cast("int").alias("_piece")).join(sums, "_piece", "left")
+    carried = every.select("_piece", *[F.last(f"b{i}", ignorenulls=True).over(earlier).alias(f"b{i}") for i in range(len(names))])
+    salted = _with_piece(table, bounds).withColumns({"_salt": F.pmod(F.hash("trace"), F.lit(SALTS)), "_row": F.lit(1)})
+    steps = steps.withColumns({"_salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))), "_row": F.lit(0)})
+    past = Window.partitionBy("_piece", "_salt").orderBy("t", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    met = salted.unionByName(steps, allowMissingColumns=True).withColumns({f"v{i}": F.last(f"v{i}", ignorenulls=True).over(past) for i in range(len(names))})
+    met = met.where("_row = 1").join(F.broadcast(carried), "_piece")
+    return met.select(*table.columns, *[F.coalesce(f"v{i}", f"b{i}").alias(f"v{i}") for i in range(len(names))]), {v: F.col(f"v{i}") for i, v in enumerate(names)}
+
+
+def _bounds(times: DataFrame) -> Column:
+    """Bounds of PIECES ranges of time with about as many rows of ``times`` in each, as a subquery of one row."""
+    shares = F.array(*[F.lit(k / PIECES) for k in range(1, PIECES)])
+    none = F.array(*[F.lit(0).cast("long")] * (PIECES - 1))
+    return times.agg(F.coalesce(F.array_sort(F.percentile_approx("t", shares, 100 * PIECES)), none).alias("b")).scalar()
+
+
+def _with_piece(rows: DataFrame, bounds: Column) -> DataFrame:
+    """With the range that each row's t is in, by bisection."""
+    rows = rows.withColumn("_piece", F.lit(0))
+    for k in range(1, PIECES.bit_length()):
+        step = PIECES >> k
+        rows = rows.withColumn("_piece", F.col("_piece") + F.when(F.element_at(bounds, F.col("_piece") + step) <= F.col("t"), step).otherwise(0))
+    return rows
 
 
 def verdicts(
@@ -232,13 +256,15 @@ def verdicts(
     bucket: float | None = None,
     grid: str = "formula",
     until_lower_bound: str = "textbook",
+    arrivals: int | None = None,
 ) -> DataFrame:
     """Verdicts (trace, t, value | value, decided_at | lo, hi) of signals (trace, signal, t in microseconds, value[, arrival_seq]).
 
     strategy: "auto" ("kernel" for formulas with until, else "window"), "window" (built-in frames), "kernel" (numpy over one
     trace, or one bucket of it) or "naive" (the definition, for comparison).
     closure: "any" (some signal has reached t + depth) or "frontier" (all of the formula's have). horizon: only samples up
-    to it are seen. until_lower_bound: "textbook", or "ignore" to let t' begin at t. Late samples are dropped first.
+    to it are seen. until_lower_bound: "textbook", or "ignore" to let t' begin at t. Late samples are dropped first (with arrivals, in
+    pieces of so many numbers of arrival_seq).
     """
     if semantics not in SEMANTICS:
         raise ValueError(f"Invalid semantics. Use one of {', '.join(SEMANTICS)}")
@@ -253,25 +279,25 @@ def verdicts(
         strategy = "kernel"
     if bucket is not None and micros(bucket) < formula.depth:
         raise ValueError("A bucket must be as long as the formula's depth")
-    if bucket is not None and (semantics in (EAGER, ROSI) or strategy == "naive"):
-        raise ValueError("Buckets are for delayed semantics")
-    rows = sync.drop_late(signals) if "arrival_seq" in signals.columns else sync.present(signals)
+    if bucket is not None and (semantics == EAGER or strategy == "naive"):
+        raise ValueError("Buckets are for delayed semantics and intervals")
+    size = None if bucket is None else micros(bucket)
+    rows = sync.drop_late(signals, arrivals) if "arrival_seq" in signals.columns else sync.present(signals)
     if horizon is not None:
         rows = rows.where(F.col("t") <= horizon)
-    apart = bucket is not None and (synchronization == "None" or len(names) < 2) and (timeline is None or not formula.variables())
-    table = sync.synchronize(sync.wide(rows, names, grid, not apart), names, synchronization)
-    table, thresholds = _with_timeline(table, formula, timeline)
+    apart = sync.wide(rows, names, grid, size)
+    table = sync.synchronize(apart, names, synchronization)
+    table, thresholds = _with_timeline(table, rows, formula, timeline)
     if strategy in ("kernel", "naive") and thresholds:
         raise ValueError("A timeline needs the window strategy")
     keys: tuple[str, ...] = ("trace",)
     if bucket is not None:
-        table = table.join(_ends(rows, names, closure, grid), "trace")
-        size = micros(bucket)
-        home = F.floor(F.col("t") / F.lit(size)).cast("long")
+        table = _with_ends(table, table if semantics == ROSI else apart, formula, names, closure, semantics, thresholds)
+        home = F.col(sync.PIECE)
         table = table.withColumn("_home", home).withColumn("_bucket", F.explode(F.when(F.col("t") - home * size <= formula.depth, F.array(home, home - 1)).otherwise(F.array(home))))
         keys = ("trace", "_bucket")
     if strategy in ("kernel", "naive"):
-        return _by_kernel(table, formula, names, semantics, strategy == "naive", ignore, closure, None if bucket is None else micros(bucket))
+        return _by_kernel(table, formula, names, semantics, strategy == "naive", ignore, closure, size)
     if bucket is None:
         over = Window.partitionBy("trace")
         end = F.max("t").over(over)
@@ -279,6 +305,8 @@ def verdicts(
             end = F.least(*[F.coalesce(F.max(F.when(F.col(f"s{i}").isNotNull(), F.col("t"))).over(over), F.lit(-1)) for i in range(len(names))])
         table = table.withColumn("_end", end)
     compiler = Compiler(table, names, semantics, ignore, keys, thresholds)
+    if bucket is not None and semantics == ROSI:
+        compiler.newest = _newest(formula)
     root = compiler.compile(formula)
     found = compiler.df.where(root.member)
     if bucket is not None:
@@ -290,44 +318,139 @@ def verdicts(
     return found.where(root.columns[1].isNotNull()).select("trace", "t", root.columns[0].alias("value"), root.columns[1].alias("decided_at"))
 
 
-def _ends(rows: DataFrame, names: list[str], closure: str, grid: str) -> DataFrame:
-    """(trace, _end): the time that its verdicts' whole future must have reached."""
-    rows = rows if grid == "all" or not names else rows.where(F.col("signal").isin(*names))
-    end = F.max("t")
+def _newest(formula: Formula) -> dict[int, str]:
+    """A column for each node with a window, by its place in the formula (keys are each process's own)."""
+    return {n.key: f"_m{i}" for i, n in enumerate(formula.walk()) if n.kind in ("always", "eventually", "until")}
+
+
+def _members(formula: Formula, names: list[str], thresholds: dict[str, Column]) -> dict[int, Column]:
+    """For each node whether a row is on its grid, which for delayed verdicts and intervals the row's own samples say."""
+    found: dict[int, Column] = {}
+    for node in formula.walk():
+        made = F.lit(True)
+        if node.kind in ("gt", "lt", "gt_var", "lt_var"):
+            made = F.col(f"s{names.index(node.args[0])}").isNotNull()
+            if isinstance(node.args[1], str):
+                made = made & thresholds[node.args[1]].isNotNull()
+        for p in node.parts:
+            made = found[p.key] if made is None or len(node.parts) == 1 else made & found[p.key]
+        found[node.key] = made
+    return found
+
+
+def _with_ends(table: DataFrame, known: DataFrame, formula: Formula, names: list[str], closure: str, semantics: str, thresholds: dict[str, Column]) -> DataFrame:
+    """The table with its trace's _end (the time that verdicts' whole future must have reached); for intervals, with each window's newest time. ``known``: the rows that say so."""
+    t, keys = F.col("t"), ("trace", sync.PIECE)
+    wanted = {"_end": t}
     if closure == "frontier" and len(names) > 1:
-        end = F.least(*[F.coalesce(F.max(F.when(F.col("signal") == n, F.col("t"))), F.lit(-1)) for n in names])
-    return rows.groupBy("trace").agg(end.alias("_end"))
+        wanted = {f"_end{i}": F.when(F.col(f"s{i}").isNotNull(), t) for i in range(len(names))}
+    if semantics == ROSI:
+        members, columns = _members(formula, names, thresholds), _newest(formula)
+        wanted |= {columns[n.key]: F.when(members[n.key], t) for n in formula.walk() if n.key in columns}
+    whole = Window.partitionBy("trace")  # over a summary row per bucket
+    sums = known.groupBy(*keys).agg(*[F.max(c).alias(n) for n, c in wanted.items()])
+    ends = {n: F.max(n).over(whole) for n in wanted}
+    if "_end" not in wanted:
+        ends["_end"] = F.least(*[F.coalesce(ends.pop(f"_end{i}"), F.lit(-1)) for i in range(len(names))])
+    return sync.with_summary(table, sums.select(*keys, *[c.alias(n) for n, c in ends.items()]), list(keys))
+
+
+#: Rows that the kernel takes at a time, if they are of several traces; and the longest axis of times that they may need.
+KERNEL_ROWS, AXIS = 1 << 18, 1 << 62
+
+
+def _starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Rows of a sorted batch at which another trace (or bucket of it) begins."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    new[:1] = True
+    for k in keys:
+        c = batch.column(k)
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, axis: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole traces, in runs of about so many rows, with the rows at which they begin."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            size += batch.num_rows
+            if size < rows:
+                continue
+        if not size:
+            return
+        made = pa.concat_batches(held)
+        starts = _starts(made, keys)
+        cut = made.num_rows if batch is None else int(starts[-1])  # the last trace may go on
+        held, size = [made.slice(cut)], made.num_rows - cut
+        starts = np.append(starts[starts < cut], cut)
+        t = made.column("t").to_numpy()
+        firsts, lasts = t[starts[:-1]].astype(np.float64), t[starts[1:] - 1].astype(np.float64)
+        length = np.cumsum(lasts - firsts) if cut else np.zeros(0)
+        at = 0
+        while at < starts.size - 1:
+            most = int(np.searchsorted(length, (length[at - 1] if at else 0.0) + axis / 2, side="right"))
+            to = max(at + 1, min(most, int(np.searchsorted(starts, starts[at] + rows, side="right")) - 1))
+            yield made.slice(starts[at], starts[to] - starts[at]), starts[at:to] - starts[at]
+            at = to
 
 
 def _by_kernel(table: DataFrame, formula: Formula, names: list[str], semantics: str, naive: bool, ignore: bool, closure: str, bucket: int | None) -> DataFrame:
+    """The numpy kernel over partitions sorted by trace: many traces at a time, on one axis of times."""
     kind = table.schema["trace"].dataType.simpleString()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t", kind="stable")
-        t = rows["t"].to_numpy(dtype=np.int64)
-        samples = {}
+    schema = f"trace {kind}, t long, {TYPES[semantics]}"
+    keys = ["trace"] if bucket is None else ["trace", "_bucket"]
+
+    def evaluated(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        times = batch.column("t").to_numpy()
+        counts = np.diff(np.append(starts, times.size))
+        first, last = times[starts], times[starts + counts - 1]
+        bases = np.concatenate([[0], np.cumsum(last - first + formula.depth + 2)[:-1]])
+        shift = bases - first
+        t, samples = times + np.repeat(shift, counts), {}
         for i, n in enumerate(names):
-            v = rows[f"s{i}"].to_numpy(dtype=np.float64)
-            samples[n] = (t[~np.isnan(v)], v[~np.isnan(v)])
-        if not names:
-            samples[""] = (t, np.zeros(t.size))
-        made = Evaluator(samples, semantics, naive, ignore)
+            v = batch.column(f"s{i}").to_numpy(zero_copy_only=False)
+            there = ~np.isnan(v)
+            samples[n] = (t[there], v[there])
+
+        def of_trace(column: str) -> np.ndarray:
+            return batch.column(column).take(pa.array(starts)).fill_null(-1).to_numpy() + shift
+
+        newest = {key: of_trace(c) for key, c in _newest(formula).items() if c in batch.schema.names}
+        made = Evaluator(samples, semantics, naive, ignore, bases=bases, newest=newest, grid=t)
         found = made.rows(formula)
+        owner = made.owner(found.t)
+        own = found.t - shift[owner]
+        keep = np.ones(own.size, dtype=bool)
         if bucket is not None:
-            end = int(rows["_end"].iloc[0])
-        else:
-            end = made.now if closure == "any" else min(int(x[-1]) if x.size else -1 for x, _ in samples.values())
-        trace = rows["trace"].iloc[0]
-        out = {"trace": np.full(found.t.size, trace, dtype=object if isinstance(trace, str) else None), "t": found.t}
-        if semantics == ROSI:
-            return pd.DataFrame(out | {"lo": found.a + 0.0, "hi": found.b + 0.0})
-        if semantics == EAGER:
-            return pd.DataFrame(out | {"value": found.a, "decided_at": found.b})[found.b != NEVER]
-        value = found.a + 0.0 if semantics == QUANTITATIVE else found.a
-        keep = found.t + formula.depth <= end
-        if bucket is not None:
-            keep &= found.t // bucket == int(rows["_bucket"].iloc[0])
-        return pd.DataFrame(out | {"value": value})[keep]
-
-    groups = table.groupBy("trace") if bucket is None else table.groupBy("trace", "_bucket")
-    return groups.applyInPandas(run, f"trace {kind}, t long, {TYPES[semantics]}")
+            keep &= own // bucket == batch.column("_bucket").take(pa.array(starts)).to_numpy()[owner]
+        if semantics in (QUANTITATIVE, QUALITATIVE):
+            if bucket is not None:
+                end = of_trace("_end")
+            else:
+                end = made.last(t) if closure == "any" or not names else np.minimum.reduce([made.last(x) for x, _ in samples.values()])
+            keep &= found.t + formula.depth <= end[owner]
+        elif semantics == EAGER:
+            keep &= found.b != NEVER
+        owner, own = owner[keep], own[keep]
+        match semantics:
+            case "DelayedQuantitative":
+                values = [found.a[keep] + 0.0]
+            case "DelayedQualitative":
+                values = [found.a[keep]]
+            case "EagerQualitative":
+                values = [found.a[keep], found.b[keep] - shift[owner]]
+            case _:
+                values = [found.a[keep] + 0.0, found.b[keep] + 0.0]
+        trace = batch.column("trace").take(pa.array(starts[owner]))
+        return pa.RecordBatch.from_arrays([trace, pa.array(own), *map(pa.array, values)], [x.split()[0] for x in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in _whole(batches, keys, 1 if naive else KERNEL_ROWS, AXIS):
+            yield evaluated(batch, starts)
+
+    rows = table if bucket is None else table.repartition(*keys)
+    wanted = [*keys, "t", *[f"s{i}" for i in range(len(names))], *[c for c in rows.columns if c == "_end" or c.startswith("_m")]]
+    return rows.select(*wanted).sortWithinPartitions(*keys, "t").mapInArrow(run, schema)

@@ -88,6 +88,20 @@ select trace, t, value, decided_at from (select trace, t, value, max(d) over (pa
 """
 
 
+EAGER_UNTIL_SQL = f"""
+with base as (select user_id as trace, epoch_us(ts) as t, min(value) as v from events group by all),
+swept as (
+  select *, min(case when not v < 150 then t end) over w as fails, min(case when v > 60 then t end) over w as hit,
+    min(t) over (partition by trace order by t range between {2 * DAY * 1_000_000} following and unbounded following) as closed
+  from base window w as (partition by trace order by t range between 0 following and {2 * DAY * 1_000_000} following)
+), decided as (
+  select trace, t, hit is not null and (fails is null or hit < fails) as value,
+    least(coalesce(closed, 9223372036854775807), case when hit is not null and (fails is null or hit < fails) then hit else coalesce(fails, 9223372036854775807) end) as d from swept
+)
+select trace, t, value, decided_at from (select trace, t, value, max(d) over (partition by trace order by t) as decided_at from decided) where decided_at < 9223372036854775807
+"""
+
+
 def late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth event comes after all others, so most of these are late."""
     rows = signals.from_events(_events(spark, sf_dir))
@@ -224,9 +238,10 @@ def _daily(table: str, trace: str, day: str, value: str) -> str:
     return f"base as (select {trace} as trace, epoch_us({day}::date::timestamp) as t, round(sum({value}), 2) as s0 from {table} group by all)"
 
 
-def chirp_catalog(spark: SparkSession, sf_dir: str, strategy: str = "kernel") -> DataFrame:
-    """All benchmark formulas over a chirp of two and a half times the deepest window, a verdict count and extremes each."""
-    rows = signals.chirp(spark, 2500)
+def formula_catalog(spark: SparkSession, sf_dir: str, strategy: str = "auto") -> DataFrame:
+    """All benchmark formulas over each supplier's daily quantities, about 1 at most, a day as a second: counts of verdicts and extremes."""
+    days = signals.daily(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_suppkey", "l_shipdate", "l_quantity", "x")
+    rows = days.select("trace", "signal", (F.col("t") / F.lit(DAY)).cast("long").alias("t"), (F.col("value") / F.lit(64.0) - F.lit(0.5)).alias("value"))
     made = None
     for i, f in catalog.get_formulas():
         one = planner.verdicts(rows, f, strategy=strategy).agg(F.lit(i).alias("formula"), F.count("*").alias("verdicts"), F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
@@ -234,6 +249,12 @@ def chirp_catalog(spark: SparkSession, sf_dir: str, strategy: str = "kernel") ->
     return made
 
 
+def formula_catalog_sql() -> str:
+    base = "base as (select l_suppkey as trace, epoch_us(l_shipdate::date::timestamp) // 86400 as t, round(sum(l_quantity), 2) / 64.0 - 0.5 as s0 from lineitem group by all)"
+    parts = [f"select {i} as formula, count(*) as verdicts, round(min(value), 6) as least, round(max(value), 6) as most from ({verdict_sql(f, base, names=['x'])})" for i, f in catalog.get_formulas()]
+    return " union all ".join(parts)
+
+
 def _base(**options) -> str:
     return signals_base(["value"], EVENTS, **options)
 
@@ -245,7 +266,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found |= {"eager_globally": eager(f"G[0,{DAY}]({EAGER_G})"), "eager_eventually": eager(f"F[0,{DAY}]({EAGER_G})"), "eager_until": eager(SINGLE["until_bool"][0])}
     found |= {"until_ignore_start": _plain(SINGLE["until_offset"][0], QUANTITATIVE, until_lower_bound="ignore"), "bucketed": _plain(SINGLE["response"][0], QUANTITATIVE, bucket=4 * DAY)}
     found |= {"kernel_response": _plain(KERNEL, QUANTITATIVE, strategy="kernel"), "kernel_until": _plain(SINGLE["until_quant"][0], QUANTITATIVE, strategy="kernel"), "naive_response": _plain(SINGLE["response"][0], QUANTITATIVE, strategy="naive")}
-    own = (late_drop, sync_none_and, closure_frontier, grid_all, eager_and, eager_or, emission_log, latest_intervals, variables_static, variables_asof, rosi_horizon, violation_report, dataset_join, interval_arithmetic, signal_union, orders_price, lineitem_quantity, chirp_catalog)
+    own = (late_drop, sync_none_and, closure_frontier, grid_all, eager_and, eager_or, emission_log, latest_intervals, variables_static, variables_asof, rosi_horizon, violation_report, dataset_join, interval_arithmetic, signal_union, orders_price, lineitem_quantity, formula_catalog)
     return found | {f.__name__: f for f in own}
 
 
@@ -258,6 +279,7 @@ def oracle_sql() -> dict[str, str]:
         found[f"sync_{kind}_windows"] = verdict_sql(parse_stl(WINDOWED_PAIR), signals_base(pair, TYPED, strategy), names=pair)
     found["eager_globally"] = eager_sql("false", "true", DAY * 1_000_000)
     found["eager_eventually"] = eager_sql("true", "false", DAY * 1_000_000)
+    found["eager_until"] = EAGER_UNTIL_SQL
     found["until_ignore_start"] = verdict_sql(parsed["until_offset"][0], _base(), names=["value"], ignore_start=True)
     found["bucketed"] = found["naive_response"] = found["response"]
     found["kernel_response"] = verdict_sql(parse_stl(KERNEL), _base(), names=["value"])
@@ -285,6 +307,7 @@ from (select v.trace, min(s.u) as emitted_at, v.t, v.value from verdicts v join
     found["dataset_join"] = f"select e.user_id as trace, epoch_us(e.ts) as t, e.value, v.value as verdict from events e left join ({found['response']}) v on e.user_id = v.trace and epoch_us(e.ts) = v.t"
     found["interval_arithmetic"] = f"select trace, t, lo + 0.5 as sum_lo, hi + 1.5 as sum_hi, lo - 1.5 as difference_lo, hi - 0.5 as difference_hi, -hi + 0.0 as negated_lo, -lo + 0.0 as negated_hi, lo = hi as decided from ({found['rosi_globally']}) where lo > -{INF}"
     found["signal_union"] = f"with {signals_base(pair, TYPED, 'ZeroOrderHold')} select * from base"
+    found["formula_catalog"] = formula_catalog_sql()
     found["orders_price"] = verdict_sql(parse_stl(f"F[0,{90 * DAY}](price > 200000)"), _daily("orders", "o_custkey", "o_orderdate", "o_totalprice"), names=["price"])
     found["lineitem_quantity"] = verdict_sql(parse_stl(LINEITEM), _daily("lineitem", "l_suppkey", "l_shipdate", "l_quantity"), names=["qty"])
     return found
