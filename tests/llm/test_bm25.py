@@ -23,7 +23,7 @@ def brute(docs, asked, k, terms):
     out = {}
     for q, t in asked:
         bag = Counter(words(t))
-        worth = sorted(((idf(w) * c * 2.2 / (c + 1.2), w) for w, c in bag.items() if df[w] > 1), reverse=True)
+        worth = sorted(((idf(w) * c * 2.2 / (c + 1.2), w) for w, c in bag.items() if df[w]), reverse=True)
         if len(worth) > terms and worth[terms - 1][0] == worth[terms][0]:
             continue  # which of equal words is taken goes by their hashes
         hits = []
@@ -60,6 +60,12 @@ def test_hard_rows(spark):
     assert bm25.search(hard.empty(spark), docs).collect() == [] and bm25.search(docs, hard.empty(spark)).collect() == []
 
 
+def test_a_word_of_one_document_finds_it(spark):
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "the zyzzyva sat"), (3, "qwxyz vbnmk"), (4, "the cat")], "doc_id long, text string")
+    asked = spark.createDataFrame([(10, "Zyzzyva"), (3, "qwxyz vbnmk"), (11, "nowhere")], "doc_id long, text string")
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in bm25.search(docs, asked).collect()) == [(3, 1, 3), (10, 1, 2)]
+
+
 def test_pruning_gives_the_best_of_all():
     rnd, rng = random.Random(1), np.random.default_rng(1)
     for _ in range(60):

@@ -1,6 +1,6 @@
 """Exact top-k search by BM25: an inverted index per shard, block-max WAND for many documents at once, and an exact merge.
 
-Queries are rows, each as all words of its whole text that another document has too; ``terms``, if given, keeps those
+Queries are rows, each as all words of its whole text that a document has; ``terms``, if given, keeps those
 of the highest BM25 weight only (as more-like-this queries are made). They run in blocks of at most
 BLOCK_QUERIES rows and BLOCK_TERMS words, so what tasks are sent has that bound; each block reads all documents three times:
 
@@ -16,7 +16,7 @@ BLOCK_QUERIES rows and BLOCK_TERMS words, so what tasks are sent has that bound;
 A bound prunes only what is strictly below the k-th score, so ties are all seen; they go to the lesser doc_id.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased, as 64-bit hashes. Defined results: null or empty texts match
-nothing and count as documents of length 0; queries without a word that another document has too give no rows; rows of one doc_id are one query
+nothing and count as documents of length 0; queries without a word that a document has give no rows; rows of one doc_id are one query
 (the least text) but each a hit; documents without a doc_id are found, last among ties; an empty table gives an empty table.
 """
 
@@ -368,7 +368,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int | None =
         chosen = []
         for _, w, times in block:
             at = np.searchsorted(wanted, w)
-            worth = np.where(df[at] > 1, weight[at] * times * (K1 + 1) / (times + K1), -1)
+            worth = np.where(df[at] > 0, weight[at] * times * (K1 + 1) / (times + K1), -1)
             best = np.lexsort((w, -worth))[:terms]
             chosen.append(at[best][worth[best] > 0])
         used = np.unique(np.concatenate(chosen)).astype(np.int64)
