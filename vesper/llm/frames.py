@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Only a session with all executors on this machine may name none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("On a cluster spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or FALLBACK_DIR).rstrip("/")
 
