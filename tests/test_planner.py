@@ -305,3 +305,22 @@ def test_clustered_steps_of_a_timeline_cost_no_more_than_even_ones(spark):
     assert took["clustered"] < 3 * took["even"] + 1
     late = planner.verdicts(data, f, timeline=clustered).where("t > 10000020000").agg(F.countDistinct(F.col("value") - F.col("t") / 1_000_000 % 9).alias("n")).first().n
     assert late == 1  # all samples after the cluster see its last step
+
+
+def test_equal_times_of_one_signal_and_what_needs_no_trace(spark):
+    rnd = random.Random(31)
+    data = spark.createDataFrame([(f"tr{rnd.randrange(3)}", "x", rnd.randrange(30) * 500_000, float(rnd.randint(-3, 3))) for _ in range(200)], SCHEMA).cache()
+    for text in ("G[0,2](x > 0)", "F[1,2](x > 1)", "x > 0 U[0,3] x > 1", "x > 1 and x < 3"):
+        f = parse_stl(text)
+        want = rows(planner.verdicts(data, f, strategy="window"))
+        assert want == rows(planner.verdicts(data, f, strategy="kernel")) == rows(planner.verdicts(data, f, strategy="naive"))
+        assert want == rows(planner.verdicts(data, f, strategy="kernel", bucket=5.0))
+    assert "Window" not in planner.verdicts(data, parse_stl("x > 1 and x < 3"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_strategy_goes_by_the_rows_of_frames(spark):
+    data = spark.range(2000).selectExpr("concat('t', id % 4) as trace", "'x' as signal", "(id div 4) * 1000000 as t", "cast(id % 7 as double) as value")
+    f = parse_stl("G[0,10](x > 0)")
+    assert abs(planner.frame_rows(data, f, ["x"]) - 10) < 0.1 and planner.frame_rows(data.where("false"), f, ["x"]) == 0
+    python = lambda text, **options: "InArrow" in planner.verdicts(data, parse_stl(text), **options)._jdf.queryExecution().executedPlan().toString()
+    assert not python("G[0,10](x > 0)") and python("G[0,100](x > 0)") and not python("G[0,100](x > 0)", strategy="window") and python("x > 0 U[0,1] x > 1")

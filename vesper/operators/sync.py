@@ -56,14 +56,24 @@ def drop_late(signals: DataFrame, run: int | None = None) -> DataFrame:
     return found.where(F.col("_reached").isNull() | (F.col("t") > F.col("_reached"))).select(*signals.columns)
 
 
-def wide(signals: DataFrame, names: list[str], grid: str = "formula", size: int | None = None) -> DataFrame:
+def single(signals: DataFrame, name: str, size: int | None = None) -> DataFrame:
+    """What ``wide`` gives for one signal, but with equal times as they are, for what sorts them anyway."""
+    keys = ("trace",) if size is None else ("trace", PIECE)
+    rows = signals.where(F.col("signal") == name)
+    return rows.select("trace", "t", F.col("value").alias("s0"), *([] if size is None else [piece("t", size).alias(PIECE)])).repartition(*keys)
+
+
+def wide(signals: DataFrame, names: list[str], grid: str = "formula", size: int | None = None, by_trace: bool = True) -> DataFrame:
     """(trace, t, s0, s1, ...): one exchange on trace, which later windows use again; with ``size``, one on trace and pieces of so many microseconds.
 
+    Without ``by_trace`` on trace and time, for what looks at no other row.
+
     Of equal (trace, signal, t) the least value stays.
     """
     rows = signals if grid == "all" or not names else signals.where(F.col("signal").isin(*names))
     keys = ("trace",) if size is None else ("trace", PIECE)
-    rows = rows.select("trace", "t", "signal", "value", *([] if size is None else [piece("t", size).alias(PIECE)])).repartition(*keys)
+    rows = rows.select("trace", "t", "signal", "value", *([] if size is None else [piece("t", size).alias(PIECE)]))
+    rows = rows.repartition(*keys) if by_trace else rows
     return rows.groupBy(*keys, "t").agg(*[F.min(F.when(F.col("signal") == n, F.col("value"))).alias(f"s{i}") for i, n in enumerate(names)], F.count("*").alias("_n")).drop("_n")
 
 

@@ -2,7 +2,8 @@
 
 One exchange on trace brings a trace's samples together as wide rows, a time each; every distinct node of the normalized
 formula becomes one set of columns. Connectives are column algebra; G and F are forward RANGE frames, which
-share the exchange and the sort. Formulas with U go to the numpy kernel, whose cost doesn't grow with windows' lengths (the window
+share the exchange and the sort, and cost as many steps a row as the frame has rows. Formulas with U, and those whose frames would have
+more than FRAME_ROWS rows by the signals' density, go to the numpy kernel, whose cost doesn't grow with windows' lengths (the window
 strategy can fold a frame's rows in order, if it is asked for, or for a timeline of thresholds); so does whatever asks for the kernel.
 
 Long traces: with ``bucket`` seconds (at least the formula's depth), each (trace, bucket) is evaluated by itself, with
@@ -30,6 +31,8 @@ from ..operators.trace import EAGER, QUALITATIVE, QUANTITATIVE, ROSI, SEMANTICS,
 from .formula import Formula, micros, normalize
 
 INF = float("inf")
+#: Rows of frames beyond which the kernel is the cheaper way.
+FRAME_ROWS = 16
 #: Pieces of time (a power of two) in which a variable timeline without traces meets samples, and parts of each by trace.
 PIECES, SALTS = 256, 4
 TYPES = {QUANTITATIVE: "value double", QUALITATIVE: "value boolean", EAGER: "value boolean, decided_at long", ROSI: "lo double, hi double"}
@@ -243,6 +246,28 @@ def _with_piece(rows: DataFrame, bounds: Column) -> DataFrame:
     return rows
 
 
+_densities: dict[tuple, float] = {}
+
+
+def density(signals: DataFrame, names: list[str]) -> float:
+    """Times with samples, a microsecond, in a trace on average: one pre-aggregated row, remembered for the same table."""
+    key = (signals.semanticHash(), *names)
+    if key not in _densities:
+        rows = signals.where(F.col("signal").isin(*names)) if names else signals
+        spans = rows.groupBy("trace", "signal").agg(F.count("t").alias("n"), (F.max("t") - F.min("t")).alias("span"))
+        n, span = spans.groupBy("trace").agg(F.sum("n").alias("n"), F.max("span").alias("span")).agg(F.sum(F.col("n").cast("double")), F.sum(F.col("span").cast("double"))).first()
+        if len(_densities) >= 256:
+            _densities.clear()
+        _densities[key] = (n or 0.0) / max(span or 0.0, 1.0)
+    return _densities[key]
+
+
+def frame_rows(signals: DataFrame, formula: Formula, names: list[str]) -> float:
+    """Rows that the frames of a formula's windows have together, on average."""
+    spans = [micros(n.args[1]) - micros(n.args[0]) for n in formula.walk() if n.kind in ("always", "eventually")]
+    return density(signals, names) * sum(spans) if spans else 0.0
+
+
 def verdicts(
     signals: DataFrame,
     formula: Formula,
@@ -260,8 +285,8 @@ def verdicts(
 ) -> DataFrame:
     """Verdicts (trace, t, value | value, decided_at | lo, hi) of signals (trace, signal, t in microseconds, value[, arrival_seq]).
 
-    strategy: "auto" ("kernel" for formulas with until, else "window"), "window" (built-in frames), "kernel" (numpy over one
-    trace, or one bucket of it) or "naive" (the definition, for comparison).
+    strategy: "auto" ("kernel" for formulas with until and for frames of more than FRAME_ROWS rows, else "window"), "window" (built-in
+    frames), "kernel" (numpy over traces, or buckets of them) or "naive" (the definition, for comparison).
     closure: "any" (some signal has reached t + depth) or "frontier" (all of the formula's have). horizon: only samples up
     to it are seen. until_lower_bound: "textbook", or "ignore" to let t' begin at t. Late samples are dropped first (with arrivals, in
     pieces of so many numbers of arrival_seq).
@@ -274,7 +299,8 @@ def verdicts(
     names, ignore = formula.signals(), until_lower_bound == "ignore"
     folds = any(n.kind == "until" for n in formula.walk())
     if strategy == "auto":
-        strategy = "kernel" if folds and timeline is None else "window"
+        fixed = timeline is None or not formula.variables()
+        strategy = "kernel" if fixed and (folds or frame_rows(signals, formula, names) > FRAME_ROWS) else "window"
     if strategy == "window" and semantics == EAGER and folds:
         strategy = "kernel"
     if bucket is not None and micros(bucket) < formula.depth:
@@ -285,10 +311,16 @@ def verdicts(
     rows = sync.drop_late(signals, arrivals) if "arrival_seq" in signals.columns else sync.present(signals)
     if horizon is not None:
         rows = rows.where(F.col("t") <= horizon)
-    apart = sync.wide(rows, names, grid, size)
+    kernel = strategy in ("kernel", "naive")
+    # What looks at no other row of its trace needn't be dealt by trace.
+    alone = formula.depth == 0 and semantics in (QUANTITATIVE, QUALITATIVE) and closure == "any" and not kernel and (len(names) < 2 or synchronization == "None")
+    if kernel and len(names) == 1 and grid == "formula":
+        apart = sync.single(rows, names[0], size)
+    else:
+        apart = sync.wide(rows, names, grid, size, by_trace=not alone)
     table = sync.synchronize(apart, names, synchronization)
     table, thresholds = _with_timeline(table, rows, formula, timeline)
-    if strategy in ("kernel", "naive") and thresholds:
+    if kernel and thresholds:
         raise ValueError("A timeline needs the window strategy")
     keys: tuple[str, ...] = ("trace",)
     if bucket is not None:
@@ -296,9 +328,9 @@ def verdicts(
         home = F.col(sync.PIECE)
         table = table.withColumn("_home", home).withColumn("_bucket", F.explode(F.when(F.col("t") - home * size <= formula.depth, F.array(home, home - 1)).otherwise(F.array(home))))
         keys = ("trace", "_bucket")
-    if strategy in ("kernel", "naive"):
+    if kernel:
         return _by_kernel(table, formula, names, semantics, strategy == "naive", ignore, closure, size)
-    if bucket is None:
+    if bucket is None and not alone:
         over = Window.partitionBy("trace")
         end = F.max("t").over(over)
         if closure == "frontier" and len(names) > 1:
@@ -312,7 +344,9 @@ def verdicts(
     if bucket is not None:
         found = found.where(F.col("_home") == F.col("_bucket"))
     if semantics in (QUANTITATIVE, QUALITATIVE):
-        return found.where(F.col("t") + F.lit(formula.depth) <= F.col("_end")).select("trace", "t", root.columns[0].alias("value"))
+        if not alone or bucket is not None:
+            found = found.where(F.col("t") + F.lit(formula.depth) <= F.col("_end"))
+        return found.select("trace", "t", root.columns[0].alias("value"))
     if semantics == ROSI:
         return found.select("trace", "t", root.columns[0].alias("lo"), root.columns[1].alias("hi"))
     return found.where(root.columns[1].isNotNull()).select("trace", "t", root.columns[0].alias("value"), root.columns[1].alias("decided_at"))
@@ -405,6 +439,11 @@ def _by_kernel(table: DataFrame, formula: Formula, names: list[str], semantics:
 
     def evaluated(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         times = batch.column("t").to_numpy()
+        first = np.zeros(times.size, dtype=bool)
+        first[starts] = True
+        first[1:] |= times[1:] != times[:-1]
+        if not first.all():  # of equal times the least value stays
+            batch, starts, times = batch.filter(pa.array(first)), np.cumsum(first)[starts] - 1, times[first]
         counts = np.diff(np.append(starts, times.size))
         first, last = times[starts], times[starts + counts - 1]
         bases = np.concatenate([[0], np.cumsum(last - first + formula.depth + 2)[:-1]])
@@ -453,4 +492,5 @@ def _by_kernel(table: DataFrame, formula: Formula, names: list[str], semantics:
 
     rows = table if bucket is None else table.repartition(*keys)
     wanted = [*keys, "t", *[f"s{i}" for i in range(len(names))], *[c for c in rows.columns if c == "_end" or c.startswith("_m")]]
-    return rows.select(*wanted).sortWithinPartitions(*keys, "t").mapInArrow(run, schema)
+    values = [f"s{i}" for i in range(len(names))] if len(names) == 1 else []
+    return rows.select(*wanted).sortWithinPartitions(*keys, "t", *values).mapInArrow(run, schema)
