@@ -27,7 +27,6 @@ def arrivals(rnd, names, n, lag):
 @pytest.mark.parametrize("synchronization", ["ZeroOrderHold", "Linear", "None"])
 @pytest.mark.parametrize("lag", [0, 3])
 def test_is_the_evaluation_of_all_samples(semantics, synchronization, lag):
-    from tests.test_planner import rows as _  # noqa: F401
     from vesper.operators.trace import Evaluator, synchronized
     import numpy as np
 

@@ -102,6 +102,24 @@ def test_signals_that_alternate_meet_everywhere_between(strategy):
     assert [t for t, _ in out] == [float(t) for t in range(1, 100)]
 
 
+@pytest.mark.parametrize("strategy", ["ZeroOrderHold", "Linear"])
+def test_steps_between_samples_are_in_the_output(strategy):
+    monitor = Monitor("x > 0 and y < 150", synchronization=strategy)
+    monitor.update("x", 1, 0)
+    assert [o for o, _ in monitor.update("y", 1, 0).raw_outputs()] == [0.0]
+    for t in (2, 4, 6, 8):
+        assert [(e.timestamp, e.value) for e in monitor.update("x", 1, t).sync_evaluations()] == [(t, 1)]
+    out = monitor.update("y", 11, 10)
+    held = (1, 1, 1, 1) if strategy == "ZeroOrderHold" else (3, 5, 7, 9)
+    assert [(e.signal, e.timestamp, e.value) for e in out.sync_evaluations()] == [*(("y", float(t), v) for t, v in zip((2, 4, 6, 8), held, strict=True)), ("y", 10, 11)]
+    assert [[t for t, _ in e.outputs] for e in out.sync_evaluations()] == [[2.0], [4.0], [6.0], [8.0], []]
+    assert [t for t, _ in out.raw_outputs()] == [2.0, 4.0, 6.0, 8.0]
+    assert monitor.update("y", 5, 10).sync_evaluations() == []  # late
+    rosi = Monitor("G[0,20](x > 0 and y < 150)", "Rosi", synchronization=strategy)
+    counts = [len(rosi.update(s, 1.0, t).verdicts()) for s, t in (("x", 0), ("y", 0), ("x", 2), ("x", 4), ("x", 6), ("x", 8), ("y", 10))]
+    assert counts == [0, 1, 1, 1, 1, 1, 5]
+
+
 def test_variables_hold_for_later_samples():
     variables = Variables({"A": 5.0})
     monitor = Monitor("x > A", variables=variables)

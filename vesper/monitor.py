@@ -70,7 +70,7 @@ def step(signal: str, value: float, at: float | str) -> tuple[str, float, float]
 
 @dataclass
 class SyncStep:
-    """A sample as the evaluator saw it, and the verdicts that it brought."""
+    """A sample as the evaluator saw it (one that was given, or one that was held or interpolated at another signal's time), and the verdicts that it brought."""
 
     signal: str
     timestamp: float
@@ -209,15 +209,22 @@ class Monitor:
     def update(self, signal: str, value: float, timestamp: float) -> MonitorOutput:
         if timestamp < 0 or timestamp != timestamp:
             raise ValueError("Timestamps must be non-negative")
-        t, outputs = micros(timestamp), []
+        t, made = micros(timestamp), []
         for variable in sorted({n.args[1] for n in self._pseudo if n.args[0] == signal}):
             limit = self.variables.get(variable)
             if limit is None:
                 raise ValueError(f"Variable '{variable}' not found in context")
             self._online.add(f"{signal}-${variable}", value - limit, t)
         if self._online.add(signal, value, t):
-            outputs = [(o[0] / 1e6, o[1] if len(o) == 2 else (o[1], o[2])) for o in self._online.emit()]
-        return MonitorOutput(signal, timestamp, value, [SyncStep(signal, timestamp, value, outputs)])
+            shown = lambda found: [(o[0] / 1e6, o[1] if len(o) == 2 else (o[1], o[2])) for o in found]
+            steps, all_outputs = self._online.steps, shown(self._online.emit())
+            made = [SyncStep(signal, u / 1e6, v, shown(own)) for u, v, own in steps]
+            given = sum(len(s.outputs) for s in made)
+            if given != len(all_outputs):  # eager verdicts, intervals, and what other signals brought: with the sample itself
+                made = [SyncStep(s.signal, s.timestamp, s.value) for s in made]
+                made[-1].outputs = all_outputs
+            made[-1].timestamp, made[-1].value = timestamp, value
+        return MonitorOutput(signal, timestamp, value, made)
 
     def update_batch(self, steps: dict[str, list[tuple[float, float]]]) -> MonitorOutput:
         """Samples by signal as (value, timestamp), taken by time and then by signal."""

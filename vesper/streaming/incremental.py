@@ -8,6 +8,7 @@ until: u(t) = min(left, max(right, u of the next row)) clamps u between two numb
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import deque
 from collections.abc import Callable
 
@@ -161,62 +162,66 @@ class _Until(_Meet):
 KINDS = {"always": _Sweep, "eventually": _Sweep, "until": _Until, "and": _Join, "or": _Join}
 
 
+class Aligner:
+    """Each signal on the times of all, as samples come: what a sample makes known of its own signal."""
+
+    def __init__(self, names: list[str], synchronization: str):
+        self.aligned, self.linear = synchronization != "None" and len(names) > 1, synchronization == "Linear"
+        self.last: dict[str, Row] = {}
+        #: Times of other signals that each signal has not reached.
+        self.waiting: dict[str, list[int]] = {n: [] for n in names}
+
+    def rows(self, signal: str, value: float, t: int) -> list[Row]:
+        """The signal's values at others' times since its last sample (held or interpolated), and the sample."""
+        was, out = self.last.get(signal), []
+        self.last[signal] = (t, value)
+        if self.aligned:
+            waiting = self.waiting[signal]
+            for g in waiting:
+                if g < t and was:
+                    out.append((g, was[1] + (value - was[1]) * (((g - was[0]) / 1e6) / ((t - was[0]) / 1e6)) if self.linear else was[1]))
+            self.waiting[signal] = [g for g in waiting if g > t]
+            for other, times in self.waiting.items():
+                if other != signal and t > self.last.get(other, (-1,))[0] and (not times or t > times[-1]):
+                    times.append(t)
+                elif other != signal and t > self.last.get(other, (-1,))[0] and t not in times:
+                    insort(times, t)
+        out.append((t, value))
+        return out
+
+
 class Delayed:
-    """A normalized formula's verdicts, sample by sample in time order, each signal on the times of all (held or interpolated)."""
+    """A normalized formula's verdicts, as its signals' rows come in time order."""
 
-    def __init__(self, formula: Formula, semantics: str, synchronization: str):
-        self.formula, self.truth, self.linear = formula, semantics == QUALITATIVE, synchronization == "Linear"
-        self.aligned = synchronization != "None" and len(formula.signals()) > 1
+    def __init__(self, formula: Formula, semantics: str):
+        self.formula, self.truth = formula, semantics == QUALITATIVE
         self.low, self.high = (False, True) if self.truth else (float("-inf"), float("inf"))
         self.order = list(formula.walk())
         self.state = {n.key: KINDS[n.kind](n, self.low, self.high) for n in self.order if n.kind in KINDS}
-        self.last: dict[str, Row] = {}
-        self.waiting: dict[str, deque[int]] = {n: deque() for n in formula.signals()}
         self.constant = any(n.kind in ("true", "false") for n in self.order)
+        #: How far each signal is known, and the latest time of all.
+        self.known: dict[str, int] = {}
         self.now = -1
 
-    def _rows(self, signal: str, value: float, t: int) -> list[Row]:
-        """The signal's rows that a sample of it makes known: on the times of others since its last one, and its own."""
-        waiting, was = self.waiting.get(signal), self.last.get(signal)
-        self.last[signal] = (t, value)
-        rows = []
-        if waiting:
-            if was:
-                for g in waiting:
-                    if g < t:
-                        rows.append((g, was[1] + (value - was[1]) * (((g - was[0]) / 1e6) / ((t - was[0]) / 1e6)) if self.linear else was[1]))
-            waiting.clear()
-        rows.append((t, value))
-        return rows
-
-    def feed(self, signal: str, value: float, t: int) -> list[Row]:
-        """What a sample makes final; it is no earlier than any before, unless signals are not aligned and there are no constants."""
-        new = t > self.now
-        rows, self.now = self._rows(signal, value, t), max(self.now, t)
-        if self.aligned and new:
-            for other, waiting in self.waiting.items():
-                if other != signal:
-                    waiting.append(t)
+    def feed(self, signal: str, value: float, t: int, now: int) -> list[Row]:
+        """What a signal's row at t, which a sample at ``now`` made known, makes final."""
+        new, self.now, self.known[signal] = now > self.now, max(self.now, now), t
         done: dict[int, tuple[list[Row], int]] = {}
         for node in self.order:
             match node.kind:
                 case "true" | "false":
-                    done[node.key] = [(t, self.high if node.kind == "true" else self.low)] if new else [], self.now
+                    done[node.key] = [(now, self.high if node.kind == "true" else self.low)] if new else [], self.now
                 case "gt" | "lt":
                     name, limit = node.args
                     if name != signal:
-                        done[node.key] = [], self.last.get(name, (-1,))[0]
+                        done[node.key] = [], self.known.get(name, -1)
                     elif self.truth:
-                        done[node.key] = [(u, v > limit if node.kind == "gt" else v < limit) for u, v in rows], t
+                        done[node.key] = [(t, value > limit if node.kind == "gt" else value < limit)], t
                     else:
-                        done[node.key] = [(u, v - limit if node.kind == "gt" else limit - v) for u, v in rows], t
+                        done[node.key] = [(t, value - limit if node.kind == "gt" else limit - value)], t
                 case "not":
                     found, final = done[node.parts[0].key]
                     done[node.key] = [(u, not v if self.truth else -v) for u, v in found], final
                 case _:
                     done[node.key] = self.state[node.key].feed([done[p.key] for p in node.parts])
         return done[self.formula.key][0]
-
-    def __len__(self) -> int:
-        """Rows held."""
-        return sum(map(len, self.state.values())) + sum(map(len, self.waiting.values())) + len(self.last)

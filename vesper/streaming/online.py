@@ -17,7 +17,7 @@ import numpy as np
 from ..operators.kernels import NEVER
 from ..operators.trace import EAGER, QUALITATIVE, ROSI, Evaluator, synchronized
 from ..plans.formula import Formula, normalize
-from .incremental import Delayed
+from .incremental import Aligner, Delayed
 
 
 class Online:
@@ -33,16 +33,26 @@ class Online:
         #: Verdicts up to this time have been given for good.
         self.done = -1
         self.found: list[tuple] = []
+        #: What the last sample made known of its signal: (time, value, the verdicts that it made final).
+        self.steps: list[tuple[int, float, list[tuple]]] = []
         #: Open intervals as they were given last.
         self.given = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
         self._fill()
 
     def _fill(self) -> None:
         """Incremental nodes as the kept samples make them."""
-        self.nodes = None if self.naive or self.semantics in (EAGER, ROSI) else Delayed(self.formula, self.semantics, self.synchronization)
-        if self.nodes is not None:
-            kept = sorted((t, n, v) for n, s in self.samples.items() for t, v in s)
-            self.found = [o for t, n, v in kept for o in self.nodes.feed(n, v, t) if o[0] > self.done]
+        self.nodes = None if self.naive or self.semantics in (EAGER, ROSI) else Delayed(self.formula, self.semantics)
+        self.aligner, self.found = Aligner(self.names, self.synchronization), []
+        for t, n, v in sorted((t, n, v) for n, s in self.samples.items() for t, v in s):
+            self._feed(n, v, t)
+
+    def _feed(self, signal: str, value: float, t: int) -> None:
+        self.steps = []
+        for u, v in self.aligner.rows(signal, value, t):
+            made = self.nodes.feed(signal, v, u, t) if self.nodes is not None else []
+            made = [(w, x if self.semantics == QUALITATIVE else x + 0.0) for w, x in made if w > self.done]
+            self.steps.append((u, v, made))
+            self.found += made
 
     def state(self) -> tuple:
         return {n: list(s) for n, s in self.samples.items()}, self.last, self.done
@@ -70,7 +80,7 @@ class Online:
             parts = x.items() if isinstance(x, dict) else x if isinstance(x, (list, tuple, deque)) else vars(x).values() if type(x).__module__ == Delayed.__module__ else ()
             return sys.getsizeof(x) + sum(map(of, parts))
 
-        return of(self.samples) + of(self.last) + (sum(map(of, (self.nodes.state, self.nodes.waiting, self.nodes.last))) if self.nodes is not None else 0)
+        return sum(map(of, (self.samples, self.last, self.aligner.waiting, self.aligner.last))) + (of(self.nodes.state) if self.nodes is not None else 0)
 
     def add(self, signal: str, value: float, t: int) -> bool:
         """Keeps a sample, unless its signal has reached its time already."""
@@ -79,10 +89,15 @@ class Online:
         self.last[signal] = t
         if signal in self.samples or not self.names:
             self.samples.setdefault(signal, deque()).append((t, float(value)))
-            if self.nodes is not None and t < self.nodes.now and (self.nodes.aligned or self.nodes.constant):
+            if self.nodes is not None and t < self.nodes.now and (self.aligner.aligned or self.nodes.constant):
+                self.steps = [(u, v, []) for u, v in self.aligner.rows(signal, float(value), t)]
+                steps, self.steps = self.steps, []
                 self._fill()
-            elif self.nodes is not None:
-                self.found += self.nodes.feed(signal, float(value), t)
+                self.steps = [*steps[:-1], (*steps[-1][:2], self.found)]
+            else:
+                self._feed(signal, float(value), t)
+        else:
+            self.steps = [(t, float(value), [])]
         return True
 
     def emit(self, changes: bool = False) -> list[tuple]:
@@ -91,7 +106,7 @@ class Online:
         Open intervals are given again each time; with ``changes`` only those that narrowed since.
         """
         if self.nodes is not None:
-            out, self.found = [(t, v if self.semantics == QUALITATIVE else v + 0.0) for t, v in self.found if t > self.done], []
+            out, self.found = self.found, []
             if out:
                 self.done = out[-1][0]
                 self.prune()
