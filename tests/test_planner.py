@@ -324,3 +324,29 @@ def test_strategy_goes_by_the_rows_of_frames(spark):
     assert abs(planner.frame_rows(data, f, ["x"]) - 10) < 0.1 and planner.frame_rows(data.where("false"), f, ["x"]) == 0
     python = lambda text, **options: "InArrow" in planner.verdicts(data, parse_stl(text), **options)._jdf.queryExecution().executedPlan().toString()
     assert not python("G[0,10](x > 0)") and python("G[0,100](x > 0)") and not python("G[0,100](x > 0)", strategy="window") and python("x > 0 U[0,1] x > 1")
+
+
+def test_predicates_over_expressions(spark):
+    rnd = random.Random(41)
+    data = samples(spark, rnd, "xy").cache()
+    doubled = data.where("signal = 'x'").withColumn("value", F.col("value") * 0.5)
+    half = Formula.pred("x * 0.5", ">", 1)
+    assert half is Formula.pred(" x  *  0.5", ">", 1.0) and half.bases() == ["x"] and str(half) == "x * 0.5 > 1"
+    for semantics in ("DelayedQuantitative", "DelayedQualitative", "Rosi", "EagerQualitative"):
+        for strategy in ("window", "kernel"):
+            got = planner.verdicts(data, Formula.always(0, 2, half), semantics, strategy=strategy)
+            assert rows(got) == rows(planner.verdicts(doubled, parse_stl("G[0,2](x > 1)"), semantics)) != []
+    both = Formula.pred("abs(x) + case when y > 0 then y else 0 end", ">=", 2)
+    assert both.bases() == ["x", "y"]
+    aligned = sync.synchronize(sync.wide(sync.drop_late(data), ["x", "y"]), ["x", "y"], "Linear").where("s0 is not null and s1 is not null")
+    want = [(r.t, r.trace, abs(r.s0) + max(r.s1, 0.0) - 2) for r in aligned.collect()]
+    assert rows(planner.verdicts(data, both, synchronization="Linear")) == sorted(want, key=str)
+    f = Formula.eventually(0, 3, both) & parse_stl("x > -1")
+    want = rows(planner.verdicts(data, f, strategy="kernel"))
+    assert want == rows(planner.verdicts(data, f, strategy="window")) == rows(planner.verdicts(data, f, bucket=5.0)) == rows(planner.verdicts(data, f, bucket=5.0, strategy="kernel"))
+    assert Monitor(f).emissions(data).count() <= len(want)
+    for bad in (("3 + 4", ">", 1), ("x", "!=", 1)):
+        with pytest.raises(ValueError):
+            Formula.pred(*bad)
+    with pytest.raises(ValueError, match="tables"):
+        Monitor(half).update("x", 1, 0)

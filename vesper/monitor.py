@@ -193,6 +193,8 @@ class Monitor:
     # One by one
     def reset(self) -> None:
         """Forgets all samples; options and variables stay."""
+        if self.formula.derived():
+            return  # for tables only
         self._pseudo = [n for n in self.formula.walk() if n.kind in ("gt_var", "lt_var")]
         self._online = Online(self._margins(), self.semantics, self.synchronization, self.algorithm == "Naive")
 
@@ -209,6 +211,8 @@ class Monitor:
     def update(self, signal: str, value: float, timestamp: float) -> MonitorOutput:
         if timestamp < 0 or timestamp != timestamp:
             raise ValueError("Timestamps must be non-negative")
+        if self.formula.derived():
+            raise ValueError("Expressions over signals are for tables")
         t, made = micros(timestamp), []
         for variable in sorted({n.args[1] for n in self._pseudo if n.args[0] == signal}):
             limit = self.variables.get(variable)

@@ -6,6 +6,7 @@ often a formula repeats them. Times are seconds in a formula and whole microseco
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import ClassVar
 
@@ -21,6 +22,24 @@ def number(x: float) -> str:
     return str(int(x)) if float(x).is_integer() and abs(x) < 1e16 else repr(float(x))
 
 
+#: Begins the name of a signal that is an expression over others.
+DERIVED = "="
+# Words of SQL expressions that are no signals.
+WORDS = {"and", "as", "bigint", "case", "cast", "double", "else", "end", "false", "float", "int", "integer", "is", "not", "null", "or", "then", "true", "when"}
+NAME = re.compile(r"[A-Za-z_]\w*(?!\w)(?!\s*\()")
+
+
+def expression_signals(name: str) -> list[str]:
+    return sorted({w for w in NAME.findall(name) if w.lower() not in WORDS})
+
+
+def expression_over(name: str, columns: dict[str, str]) -> str:
+    """The expression's SQL with columns for its signals, where all of them are there."""
+    said = NAME.sub(lambda m: columns.get(m[0], m[0]), name.removeprefix(DERIVED))
+    there = " and ".join(f"{columns[n]} is not null" for n in expression_signals(name))
+    return f"case when {there} then cast({said} as double) end"
+
+
 class Formula:
     """A node: kind, its scalar arguments, and its operands. Build with the class methods or by parsing."""
 
@@ -66,6 +85,17 @@ class Formula:
     def false_() -> Formula:
         return Formula("false")
 
+    @staticmethod
+    def pred(expression: str, comparison: str, value: float) -> Formula:
+        """A comparison of a SQL expression over signals, such as ``pred("speed * 0.5 + drift", ">", 3)``; its names are signals."""
+        if comparison not in (">", "<", ">=", "<=", "=="):
+            raise ValueError("Invalid comparison. Use '>', '<', '>=', '<=', or '=='")
+        name = DERIVED + " ".join(expression.split())
+        if not expression_signals(name):
+            raise ValueError(f"No signal in '{expression}'")
+        make = {">": Formula.gt, "<": Formula.lt, ">=": Formula.ge, "<=": Formula.le, "==": Formula.eq}[comparison]
+        return make(name, value)
+
     # Sugar
     @staticmethod
     def ge(signal: str, value: float) -> Formula:
@@ -147,6 +177,14 @@ class Formula:
     def signals(self) -> list[str]:
         return sorted({n.args[0] for n in self.walk() if n.kind in ("gt", "lt", "gt_var", "lt_var")})
 
+    def bases(self) -> list[str]:
+        """The signals that are sampled: signals(), with those of expressions instead of the expressions."""
+        return sorted({b for n in self.signals() for b in (expression_signals(n) if n.startswith(DERIVED) else [n])})
+
+    def derived(self) -> list[str]:
+        """The expressions over signals."""
+        return [n for n in self.signals() if n.startswith(DERIVED)]
+
     def variables(self) -> list[str]:
         return sorted({n.args[1] for n in self.walk() if n.kind in ("gt_var", "lt_var")})
 
@@ -165,7 +203,7 @@ class Formula:
             case "true" | "false":
                 return self.kind.capitalize()
             case "gt" | "lt":
-                return f"{self.args[0]} {'>' if self.kind == 'gt' else '<'} {number(self.args[1])}"
+                return f"{self.args[0].removeprefix(DERIVED)} {'>' if self.kind == 'gt' else '<'} {number(self.args[1])}"
             case "gt_var" | "lt_var":
                 return f"{self.args[0]} {'>' if self.kind == 'gt_var' else '<'} ${self.args[1]}"
             case "not":

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from ..operators import sync
 from ..operators.kernels import NEVER
 from ..operators.trace import EAGER, QUALITATIVE, QUANTITATIVE, ROSI, SEMANTICS, Evaluator
-from .formula import Formula, micros, normalize
+from .formula import Formula, expression_over, micros, normalize
 
 INF = float("inf")
 #: Rows of frames beyond which the kernel is the cheaper way.
@@ -296,11 +296,12 @@ def verdicts(
     if synchronization not in sync.STRATEGIES:
         raise ValueError("Invalid synchronization. Use 'ZeroOrderHold', 'Linear', or 'None'")
     formula = normalize(formula.bound(variables or {}))
-    names, ignore = formula.signals(), until_lower_bound == "ignore"
+    sampled, ignore = formula.bases(), until_lower_bound == "ignore"
+    names = sampled + formula.derived()
     folds = any(n.kind == "until" for n in formula.walk())
     if strategy == "auto":
         fixed = timeline is None or not formula.variables()
-        strategy = "kernel" if fixed and (folds or frame_rows(signals, formula, names) > FRAME_ROWS) else "window"
+        strategy = "kernel" if fixed and (folds or frame_rows(signals, formula, sampled) > FRAME_ROWS) else "window"
     if strategy == "window" and semantics == EAGER and folds:
         strategy = "kernel"
     if bucket is not None and micros(bucket) < formula.depth:
@@ -313,28 +314,30 @@ def verdicts(
         rows = rows.where(F.col("t") <= horizon)
     kernel = strategy in ("kernel", "naive")
     # What looks at no other row of its trace needn't be dealt by trace.
-    alone = formula.depth == 0 and semantics in (QUANTITATIVE, QUALITATIVE) and closure == "any" and not kernel and (len(names) < 2 or synchronization == "None")
+    alone = formula.depth == 0 and semantics in (QUANTITATIVE, QUALITATIVE) and closure == "any" and not kernel and (len(sampled) < 2 or synchronization == "None")
     if kernel and len(names) == 1 and grid == "formula":
         apart = sync.single(rows, names[0], size)
     else:
-        apart = sync.wide(rows, names, grid, size, by_trace=not alone)
-    table = sync.synchronize(apart, names, synchronization)
+        apart = sync.wide(rows, sampled, grid, size, by_trace=not alone)
+    table = sync.synchronize(apart, sampled, synchronization)
+    made = [F.expr(expression_over(n, {b: f"s{i}" for i, b in enumerate(sampled)})) for n in names[len(sampled) :]]
+    table = table.withColumns({f"s{i}": F.when(~F.isnan(c), c) for i, c in enumerate(made, len(sampled))})
     table, thresholds = _with_timeline(table, rows, formula, timeline)
     if kernel and thresholds:
         raise ValueError("A timeline needs the window strategy")
     keys: tuple[str, ...] = ("trace",)
     if bucket is not None:
-        table = _with_ends(table, table if semantics == ROSI else apart, formula, names, closure, semantics, thresholds)
+        table = _with_ends(table, table if semantics == ROSI else apart, formula, names, len(sampled), closure, semantics, thresholds)
         home = F.col(sync.PIECE)
         table = table.withColumn("_home", home).withColumn("_bucket", F.explode(F.when(F.col("t") - home * size <= formula.depth, F.array(home, home - 1)).otherwise(F.array(home))))
         keys = ("trace", "_bucket")
     if kernel:
-        return _by_kernel(table, formula, names, semantics, strategy == "naive", ignore, closure, size)
+        return _by_kernel(table, formula, names, len(sampled), semantics, strategy == "naive", ignore, closure, size)
     if bucket is None and not alone:
         over = Window.partitionBy("trace")
         end = F.max("t").over(over)
-        if closure == "frontier" and len(names) > 1:
-            end = F.least(*[F.coalesce(F.max(F.when(F.col(f"s{i}").isNotNull(), F.col("t"))).over(over), F.lit(-1)) for i in range(len(names))])
+        if closure == "frontier" and len(sampled) > 1:
+            end = F.least(*[F.coalesce(F.max(F.when(F.col(f"s{i}").isNotNull(), F.col("t"))).over(over), F.lit(-1)) for i in range(len(sampled))])
         table = table.withColumn("_end", end)
     compiler = Compiler(table, names, semantics, ignore, keys, thresholds)
     if bucket is not None and semantics == ROSI:
@@ -372,12 +375,12 @@ def _members(formula: Formula, names: list[str], thresholds: dict[str, Column])
     return found
 
 
-def _with_ends(table: DataFrame, known: DataFrame, formula: Formula, names: list[str], closure: str, semantics: str, thresholds: dict[str, Column]) -> DataFrame:
+def _with_ends(table: DataFrame, known: DataFrame, formula: Formula, names: list[str], sampled: int, closure: str, semantics: str, thresholds: dict[str, Column]) -> DataFrame:
     """The table with its trace's _end (the time that verdicts' whole future must have reached); for intervals, with each window's newest time. ``known``: the rows that say so."""
     t, keys = F.col("t"), ("trace", sync.PIECE)
     wanted = {"_end": t}
-    if closure == "frontier" and len(names) > 1:
-        wanted = {f"_end{i}": F.when(F.col(f"s{i}").isNotNull(), t) for i in range(len(names))}
+    if closure == "frontier" and sampled > 1:
+        wanted = {f"_end{i}": F.when(F.col(f"s{i}").isNotNull(), t) for i in range(sampled)}
     if semantics == ROSI:
         members, columns = _members(formula, names, thresholds), _newest(formula)
         wanted |= {columns[n.key]: F.when(members[n.key], t) for n in formula.walk() if n.key in columns}
@@ -385,7 +388,7 @@ def _with_ends(table: DataFrame, known: DataFrame, formula: Formula, names: list
     sums = known.groupBy(*keys).agg(*[F.max(c).alias(n) for n, c in wanted.items()])
     ends = {n: F.max(n).over(whole) for n in wanted}
     if "_end" not in wanted:
-        ends["_end"] = F.least(*[F.coalesce(ends.pop(f"_end{i}"), F.lit(-1)) for i in range(len(names))])
+        ends["_end"] = F.least(*[F.coalesce(ends.pop(f"_end{i}"), F.lit(-1)) for i in range(sampled)])
     return sync.with_summary(table, sums.select(*keys, *[c.alias(n) for n, c in ends.items()]), list(keys))
 
 
@@ -431,7 +434,7 @@ def _whole(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, axis:
             at = to
 
 
-def _by_kernel(table: DataFrame, formula: Formula, names: list[str], semantics: str, naive: bool, ignore: bool, closure: str, bucket: int | None) -> DataFrame:
+def _by_kernel(table: DataFrame, formula: Formula, names: list[str], sampled: int, semantics: str, naive: bool, ignore: bool, closure: str, bucket: int | None) -> DataFrame:
     """The numpy kernel over partitions sorted by trace: many traces at a time, on one axis of times."""
     kind = table.schema["trace"].dataType.simpleString()
     schema = f"trace {kind}, t long, {TYPES[semantics]}"
@@ -469,7 +472,7 @@ def _by_kernel(table: DataFrame, formula: Formula, names: list[str], semantics:
             if bucket is not None:
                 end = of_trace("_end")
             else:
-                end = made.last(t) if closure == "any" or not names else np.minimum.reduce([made.last(x) for x, _ in samples.values()])
+                end = made.last(t) if closure == "any" or not names else np.minimum.reduce([made.last(samples[n][0]) for n in names[:sampled]])
             keep &= found.t + formula.depth <= end[owner]
         elif semantics == EAGER:
             keep &= found.b != NEVER

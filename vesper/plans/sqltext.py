@@ -6,7 +6,7 @@ of common table expressions over ``base`` (trace, t, s0, s1, ...).
 
 from __future__ import annotations
 
-from .formula import Formula, micros, normalize
+from .formula import Formula, expression_over, micros, normalize
 
 INF = "'Infinity'::double"
 
@@ -35,10 +35,15 @@ def signals_base(names: list[str], source: str, synchronization: str = "None", l
 
 def verdict_sql(formula: Formula, base: str, semantics: str = "DelayedQuantitative", names: list[str] | None = None, ignore_start: bool = False, thresholds: dict[str, str] | None = None) -> str:
     formula = normalize(formula)
-    names = names or formula.signals()
+    sampled = names or formula.bases()
+    names = sampled + formula.derived()
     truth, rosi = semantics == "DelayedQualitative", semantics == "Rosi"
     ends = ("lo", "hi") if rosi else ("v",)
     steps, last, member = [base], "base", {}
+    if made := names[len(sampled) :]:
+        columns = {b: f"s{i}" for i, b in enumerate(sampled)}
+        steps.append(f"derived as (select *, {', '.join(f'{expression_over(n, columns)} as s{i}' for i, n in enumerate(made, len(sampled)))} from base)")
+        last = "derived"
 
     def column(node: Formula, end: str) -> str:
         return f"n{node.key}_{end}"

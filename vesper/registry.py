@@ -144,6 +144,14 @@ def eager_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.verdicts(_typed(spark, sf_dir), parse_stl("click > 20 or view < 150"), EAGER)
 
 
+WEIGHED = Formula.always(0, DAY, Formula.pred("click * 0.5 + view", ">", 40.0))
+
+
+def predicate_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate over an expression of two signals, held on common times."""
+    return planner.verdicts(_typed(spark, sf_dir), WEIGHED)
+
+
 def emission_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each verdict came, in the order it came."""
     rows = _events(spark, sf_dir).groupBy("user_id", "ts").agg(F.min("value").alias("value"), F.min("event_id").alias("event_id"))
@@ -266,7 +274,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found |= {"eager_globally": eager(f"G[0,{DAY}]({EAGER_G})"), "eager_eventually": eager(f"F[0,{DAY}]({EAGER_G})"), "eager_until": eager(SINGLE["until_bool"][0])}
     found |= {"until_ignore_start": _plain(SINGLE["until_offset"][0], QUANTITATIVE, until_lower_bound="ignore"), "bucketed": _plain(SINGLE["response"][0], QUANTITATIVE, bucket=4 * DAY)}
     found |= {"kernel_response": _plain(KERNEL, QUANTITATIVE, strategy="kernel"), "kernel_until": _plain(SINGLE["until_quant"][0], QUANTITATIVE, strategy="kernel"), "naive_response": _plain(SINGLE["response"][0], QUANTITATIVE, strategy="naive")}
-    own = (late_drop, sync_none_and, closure_frontier, grid_all, eager_and, eager_or, emission_log, latest_intervals, variables_static, variables_asof, rosi_horizon, violation_report, dataset_join, interval_arithmetic, signal_union, orders_price, lineitem_quantity, formula_catalog)
+    own = (late_drop, sync_none_and, closure_frontier, grid_all, eager_and, eager_or, emission_log, latest_intervals, variables_static, variables_asof, rosi_horizon, violation_report, dataset_join, interval_arithmetic, signal_union, orders_price, lineitem_quantity, formula_catalog, predicate_expression)
     return found | {f.__name__: f for f in own}
 
 
@@ -307,6 +315,7 @@ from (select v.trace, min(s.u) as emitted_at, v.t, v.value from verdicts v join
     found["dataset_join"] = f"select e.user_id as trace, epoch_us(e.ts) as t, e.value, v.value as verdict from events e left join ({found['response']}) v on e.user_id = v.trace and epoch_us(e.ts) = v.t"
     found["interval_arithmetic"] = f"select trace, t, lo + 0.5 as sum_lo, hi + 1.5 as sum_hi, lo - 1.5 as difference_lo, hi - 0.5 as difference_hi, -hi + 0.0 as negated_lo, -lo + 0.0 as negated_hi, lo = hi as decided from ({found['rosi_globally']}) where lo > -{INF}"
     found["signal_union"] = f"with {signals_base(pair, TYPED, 'ZeroOrderHold')} select * from base"
+    found["predicate_expression"] = verdict_sql(WEIGHED, signals_base(pair, TYPED, "ZeroOrderHold"), names=pair)
     found["formula_catalog"] = formula_catalog_sql()
     found["orders_price"] = verdict_sql(parse_stl(f"F[0,{90 * DAY}](price > 200000)"), _daily("orders", "o_custkey", "o_orderdate", "o_totalprice"), names=["price"])
     found["lineitem_quantity"] = verdict_sql(parse_stl(LINEITEM), _daily("lineitem", "l_suppkey", "l_shipdate", "l_quantity"), names=["qty"])

@@ -25,6 +25,8 @@ class Online:
         self.formula, self.semantics, self.naive = normalize(formula), semantics, naive
         self.synchronization = synchronization if len(formula.signals()) > 1 else "None"
         self.names = self.formula.signals()
+        if self.formula.derived():
+            raise ValueError("Expressions over signals are for tables")
         self.reset()
 
     def reset(self) -> None:

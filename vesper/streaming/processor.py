@@ -52,8 +52,8 @@ def reaches(formula: Formula) -> dict[str | None, int]:
 
     def go(node: Formula, above: int) -> None:
         if not node.parts:
-            name = None if node.kind in ("true", "false") else node.args[0]
-            found[name] = max(found.get(name, 0), above)
+            for name in node.bases() or [None]:
+                found[name] = max(found.get(name, 0), above)
         for p in node.parts:
             go(p, above + (micros(node.args[1]) if node.kind in ("always", "eventually", "until") else 0))
 
@@ -63,7 +63,7 @@ def reaches(formula: Formula) -> dict[str | None, int]:
 
 def _log_by_time(signals: DataFrame, formula: Formula, semantics: str, synchronization: str) -> DataFrame:
     """The log of a table whose samples come by time: a verdict comes with the first sample that makes it final."""
-    rows, names = sync.drop_late(signals), formula.signals()
+    rows, names = sync.drop_late(signals), formula.bases()
     seq = F.row_number().over(Window.partitionBy("trace").orderBy("t")).cast("long").alias("seq")
     verdicts = planner.verdicts(rows, formula, semantics, synchronization)
     if semantics == EAGER:
@@ -81,7 +81,7 @@ def _log_by_time(signals: DataFrame, formula: Formula, semantics: str, synchroni
 
 def emission_log(signals: DataFrame, formula: Formula, semantics: str, synchronization: str) -> DataFrame:
     """(trace, emitted_at, seq, t, value or lo, hi) of a signals table, as its samples come by arrival_seq or time."""
-    if "arrival_seq" not in signals.columns and semantics != ROSI and (semantics != EAGER or len(formula.signals()) == 1):
+    if "arrival_seq" not in signals.columns and semantics != ROSI and (semantics != EAGER or len(formula.bases()) == 1):
         return _log_by_time(signals, formula, semantics, synchronization)
     kind, order = signals.schema["trace"].dataType.simpleString(), _in_order(signals)
     schema = f"trace {kind}, emitted_at long, seq long, t long, {_columns(semantics)}"
