@@ -350,3 +350,65 @@ def test_predicates_over_expressions(spark):
             Formula.pred(*bad)
     with pytest.raises(ValueError, match="tables"):
         Monitor(half).update("x", 1, 0)
+
+
+def _streamed(spark, stream, mode, name, path):
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", path).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def test_intervals_stream_as_updates_over_a_restart(spark, tmp_path):
+    rnd = random.Random(51)
+    data = [(f"tr{k}", "x", t * 1_000_000, float(rnd.randint(-3, 3))) for t in range(24) for k in range(2)]
+    monitor, source, out, seen = Monitor("G[0,3](F[0,2](x > 0))", "Rosi"), str(tmp_path / "in"), [], []
+    for i in range(3):  # each round is a new run of the query from its checkpoint
+        spark.createDataFrame(data[i * 16 : (i + 1) * 16], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        written = str(tmp_path / f"out{i}")
+        stream = monitor.stream(spark.readStream.schema(SCHEMA).parquet(source))
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True)
+        query.foreachBatch(lambda df, n, to=written: df.write.mode("append").parquet(f"{to}/{n}")).start().awaitTermination()
+        out.append(spark.read.parquet(f"{written}/*").collect())
+    for batch in out:
+        seen.append({(r.trace, r.t): (r.lo, r.hi) for r in batch})
+    last = seen[0] | seen[1] | seen[2]
+    want = {(r.trace, r.t): (r.lo, r.hi) for r in monitor.evaluate(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert last == want
+    assert all(seen[1][k] != seen[0][k] for k in seen[1].keys() & seen[0].keys())  # only what changed comes again
+
+
+def test_changes_of_a_variable_are_for_later_samples(spark, tmp_path):
+    rnd = random.Random(52)
+    data = [(f"tr{k}", "x", t * 1_000_000, float(rnd.randint(-3, 3))) for t in range(30) for k in range(2)]
+    steps = [(f"tr{k}", "$limit", t * 1_000_000, float(v)) for k in range(2) for t, v in ((0, 1), (9 + k, -1), (10 + k, 2), (21, 0))]
+    for name, rows_, schema in (("in", data, SCHEMA), ("vars", steps, "trace string, name string, t long, value double")):
+        for i in range(2):
+            part = [r for r in rows_ if i * 15_000_000 <= r[2] < (i + 1) * 15_000_000]
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    monitor = Monitor("G[0,2](x < $limit)")
+    read = lambda name, schema: spark.readStream.schema(schema).parquet(str(tmp_path / name))
+    stream = monitor.stream(read("in", SCHEMA), changes=read("vars", "trace string, name string, t long, value double"))
+    _streamed(spark, stream, "append", "with_changes", str(tmp_path / "ckpt"))
+    timeline = spark.createDataFrame([(a, "limit", t, v) for a, _, t, v in steps], "trace string, name string, t long, value double")
+    want = rows(monitor.evaluate(spark.createDataFrame(data, SCHEMA), timeline=timeline))
+    assert rows(spark.table("with_changes")) == want != []
+    with pytest.raises(ValueError, match="not found"):
+        monitor.stream(read("in", SCHEMA))
+
+
+def test_state_of_dead_traces_expires_and_late_samples_are_counted(spark, tmp_path):
+    from vesper.streaming import processor
+
+    data = [("dead", "x", t * 1_000_000, 1.0) for t in range(5)] + [("live", "x", t * 1_000_000, 1.0) for t in range(60)] + [("live", "x", 2_000_000, 5.0)]
+    begin = 1_700_000_000_000_000
+    source, path = str(tmp_path / "in"), str(tmp_path / "ckpt")
+    for i in range(4):
+        part = [(a, s, begin + t, v) for a, s, t, v in data if i * 15_000_000 <= t < (i + 1) * 15_000_000]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    monitor = Monitor("G[0,3](x > 0)")
+    stream = monitor.stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source), expire="20 seconds")
+    _streamed(spark, stream, "append", "expiring", path)
+    assert [tuple(r) for r in processor.states(spark, path).select("trace", "late").collect()] == [("live", 1)]
+    assert processor.states(spark, path).first().samples <= 5
+    got = spark.table("expiring").groupBy("trace").count().orderBy("trace").collect()
+    assert [tuple(r) for r in got] == [("dead", 2), ("live", 57)]

@@ -12,7 +12,7 @@ from .operators.trace import EAGER, QUALITATIVE, QUANTITATIVE, ROSI, SEMANTICS
 from .plans import planner
 from .plans.formula import Formula, micros, number
 from .plans.parser import parse_stl
-from .streaming.online import Online
+from .streaming.online import Online, margins
 
 
 class Variables:
@@ -178,11 +178,11 @@ class Monitor:
             options["strategy"] = "naive"
         return planner.verdicts(signals, self.formula, self.semantics, self.synchronization, dict(self.variables), **options)
 
-    def stream(self, signals: DataFrame, log: bool = False) -> DataFrame:
-        """The emissions of a streaming signals table; as a log, with the time and number of each."""
+    def stream(self, signals: DataFrame, log: bool = False, changes: DataFrame | None = None, expire: str | None = None) -> DataFrame:
+        """The emissions of a streaming signals table (see processor.monitor_stream); as a log, with the time and number of each."""
         from .streaming import processor
 
-        return processor.monitor_stream(signals, self.formula.bound(dict(self.variables)), self.semantics, self.synchronization, log)
+        return processor.monitor_stream(signals, self.formula, self.semantics, self.synchronization, log, dict(self.variables), changes, expire)
 
     def emissions(self, signals: DataFrame) -> DataFrame:
         """The emission log of a signals table: what ``update`` gives, sample by sample; of intervals, those that narrowed."""
@@ -196,17 +196,7 @@ class Monitor:
         if self.formula.derived():
             return  # for tables only
         self._pseudo = [n for n in self.formula.walk() if n.kind in ("gt_var", "lt_var")]
-        self._online = Online(self._margins(), self.semantics, self.synchronization, self.algorithm == "Naive")
-
-    def _margins(self) -> Formula:
-        """The formula with ``s > $v`` as a comparison of the signal ``s-$v``, as later changes of v are for later samples only."""
-
-        def go(node: Formula) -> Formula:
-            if node.kind in ("gt_var", "lt_var"):
-                return Formula(node.kind[:2], (f"{node.args[0]}-${node.args[1]}", 0.0))
-            return Formula(node.kind, node.args, tuple(go(p) for p in node.parts)) if node.parts else node
-
-        return go(self.formula)
+        self._online = Online(margins(self.formula), self.semantics, self.synchronization, self.algorithm == "Naive")
 
     def update(self, signal: str, value: float, timestamp: float) -> MonitorOutput:
         if timestamp < 0 or timestamp != timestamp:

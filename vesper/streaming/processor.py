@@ -11,11 +11,10 @@ final. Else it is made sample by sample by the streaming state.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
@@ -24,7 +23,7 @@ from ..operators import sync
 from ..operators.trace import EAGER, QUALITATIVE, ROSI
 from ..plans import planner
 from ..plans.formula import Formula, micros, normalize
-from .online import Online
+from .online import Online, margins
 
 
 def _columns(semantics: str) -> str:
@@ -32,6 +31,7 @@ def _columns(semantics: str) -> str:
 
 
 def _in_order(signals: DataFrame) -> list[str]:
+    """By arrival, or else by time; a variable's change ("$" before its name) is before samples of its time."""
     return ["arrival_seq"] if "arrival_seq" in signals.columns else ["t", "signal"]
 
 
@@ -94,27 +94,91 @@ def emission_log(signals: DataFrame, formula: Formula, semantics: str, synchroni
     return signals.where("trace is not null and signal is not null and t is not null").groupBy("trace").applyInPandas(run, schema)
 
 
-def monitor_stream(signals: DataFrame, formula: Formula, semantics: str, synchronization: str, log: bool = False) -> DataFrame:
-    """(trace, t, value) or (trace, t, lo, hi) of signals (trace, signal, t, value[, arrival_seq]) as they come; or their emission log."""
+#: The state of a trace: kept samples, each signal's last time, the last final verdict, emissions so far, late samples so far, variables.
+STATE = "samples map<string,array<struct<t:bigint,v:double>>>, last map<string,bigint>, done bigint, seq bigint, late bigint, variables map<string,double>"
+
+
+def monitor_stream(
+    signals: DataFrame,
+    formula: Formula,
+    semantics: str,
+    synchronization: str,
+    log: bool = False,
+    variables: dict[str, float] | None = None,
+    changes: DataFrame | None = None,
+    expire: str | None = None,
+) -> DataFrame:
+    """(trace, t, value) or (trace, t, lo, hi) of signals (trace, signal, t, value[, arrival_seq]) as they come; or their emission log.
+
+    Intervals are an update stream (write it in update mode): a row is a time's interval from now on. All else is appended.
+    ``changes``: a stream (trace, name, t, value[, arrival_seq]) of new values of variables, each for the samples of its trace that come after it;
+    ``variables``: their values before. Samples that need a variable without a value are not evaluated.
+    ``expire``: how far behind the latest sample of all (the watermark) a trace's last one may be, as an interval such as "1 day";
+    a trace further behind loses its state, and older samples are dropped and counted by Spark as dropped by the watermark. Samples that
+    are late for their own signal are counted in the state, which ``states`` reads.
+    """
     kind, order = signals.schema["trace"].dataType.simpleString(), _in_order(signals)
+    mode = "update" if semantics == ROSI and not log else "append"
     schema = f"trace {kind}, " + "emitted_at long, seq long, " * log + f"t long, {_columns(semantics)}"
     names = [x.split()[0] for x in schema.split(", ")]
+    known = {k: float(v) for k, v in (variables or {}).items()}
+    formula = formula if changes is not None else formula.bound(known)
+    if changes is None and formula.variables():
+        raise ValueError(f"Variable '{formula.variables()[0]}' not found in context")
+    formula = margins(formula)
+    needed = {}
+    for n in formula.signals():
+        if "-$" in n:
+            needed.setdefault(n.split("-$")[0], []).append(n.split("-$")[1])
+
+    def take(monitor: Online, values: dict[str, float], signal: str, x: float, t: int) -> bool | None:
+        """Whether a sample was taken; None if it is none."""
+        if signal.startswith("$"):
+            values[signal[1:]] = x
+            return None
+        for v in needed.get(signal, ()):
+            if v in values:
+                monitor.add(f"{signal}-${v}", x - values[v], t)
+        return monitor.add(signal, x, t)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        monitor, seq = Online(formula, semantics, synchronization), 0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        monitor, seq, late, values = Online(formula, semantics, synchronization), 0, 0, dict(known)
         if state.exists:
-            (samples, last, done), seq = json.loads(state.get[0])
-            monitor.restore(({k: [tuple(x) for x in v] for k, v in samples.items()}, last, done))
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        if log:
-            out = _emissions(monitor, rows, key[0], seq)
-        else:
-            for signal, x, t in zip(rows["signal"], rows["value"], rows["t"], strict=True):
-                monitor.add(signal, x, int(t))
+            samples, last, done, seq, late, values = state.get
+            monitor.restore(({k: [tuple(x) for x in v] for k, v in samples.items()}, dict(last), done))
+        rows, out = pd.concat(list(frames)).sort_values(order, kind="stable"), []
+        for signal, x, t in zip(rows["signal"], rows["value"], rows["t"], strict=True):
+            taken = take(monitor, values, signal, x, int(t))
+            late += taken is False
+            if taken and log:
+                for o in monitor.emit(changes=True):
+                    seq += 1
+                    out.append((key[0], int(t), seq, *o))
+        if not log:
             out = [(key[0], *o) for o in monitor.emit(changes=True)]
-        state.update((json.dumps((monitor.state(), seq + len(out))),))
+            seq += len(out)
+        state.update((*monitor.state(), seq, late, values))
+        if expire is not None and monitor.last:
+            state.setTimeoutTimestamp(max(max(monitor.last.values()) // 1000, state.getCurrentWatermarkMs()) + 1)
         if out:
             yield pd.DataFrame(out, columns=names)
 
     there = signals.where("trace is not null and signal is not null and t is not null")
-    return there.groupBy("trace").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    if changes is not None:
+        steps = changes.where("trace is not null and name is not null and t is not null").withColumn("signal", F.concat(F.lit("$"), F.regexp_replace("name", "^[$]", "")))
+        columns = ["trace", "signal", "t", "value", *[c for c in order if c == "arrival_seq"]]
+        there = there.select(*columns).unionByName(steps.select(*columns))
+    timeout = GroupStateTimeout.NoTimeout
+    if expire is not None:
+        there, timeout = there.withColumn("_time", F.timestamp_micros("t")).withWatermark("_time", expire), GroupStateTimeout.EventTimeTimeout
+    return there.groupBy("trace").applyInPandasWithState(run, schema, STATE, mode, timeout)
+
+
+def states(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(trace, samples, late, seq) of the traces that a stream with this checkpoint has state of."""
+    state = F.col("value.groupState")
+    kept = F.aggregate(F.map_values(state["samples"]), F.lit(0), lambda n, s: n + F.size(s))
+    return spark.read.format("statestore").load(checkpoint).select(F.col("key.trace").alias("trace"), kept.alias("samples"), state["late"].alias("late"), state["seq"].alias("seq"))
