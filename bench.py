@@ -27,18 +27,18 @@ def chirp_queries() -> dict:
 
     # The published benchmark's formulas.
     formulas = {
-        "chirp_phi1": ("x < 0.5 and x > -0.5", "window"),
-        "chirp_phi2": ("G[0,1000](x > 0.5 -> F[0,100](x < 0.0))", "kernel"),
-        "chirp_phi3": ("(x < 0.5) U[0,1000] (x < 0.0)", "kernel"),
-        "chirp_phi4": ("(G[0,100](x < 0.5)) or (G[100,150](x > 0.0))", "kernel"),
-        "chirp_f100": ("F[0,100](x < 0.5)", "kernel"),
-        "chirp_f5000": ("F[0,5000](x < 0.5)", "kernel"),
+        "chirp_phi1": "x < 0.5 and x > -0.5",
+        "chirp_phi2": "G[0,1000](x > 0.5 -> F[0,100](x < 0.0))",
+        "chirp_phi3": "(x < 0.5) U[0,1000] (x < 0.0)",
+        "chirp_phi4": "(G[0,100](x < 0.5)) or (G[100,150](x > 0.0))",
+        "chirp_f100": "F[0,100](x < 0.5)",
+        "chirp_f5000": "F[0,5000](x < 0.5)",
     }
 
-    def run(text: str, strategy: str):
-        return lambda spark, _: planner.verdicts(signals.chirp(spark, SAMPLES, traces=TRACES), parse_stl(text), strategy=strategy)
+    def run(text: str):
+        return lambda spark, _: planner.verdicts(signals.chirp(spark, SAMPLES, traces=TRACES), parse_stl(text))
 
-    return {name: run(*x) for name, x in formulas.items()}
+    return {name: run(x) for name, x in formulas.items()}
 
 
 def main() -> None:

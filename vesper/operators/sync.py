@@ -88,12 +88,13 @@ def synchronize(table: DataFrame, names: list[str], strategy: str) -> DataFrame:
         sums, ahead = table.groupBy(*keys).agg(*ends), _before("trace", order=F.desc(PIECE))
         carried = [c for i in range(len(names)) for c in (F.last(f"_z{i}", ignorenulls=True).over(_before("trace", order=PIECE)).alias(f"_was{i}"), F.last(f"_a{i}", ignorenulls=True).over(ahead).alias(f"_will{i}"))]
         table = with_summary(table, sums.select(*keys, *carried), keys)
-    # Both frames only grow: the samples after a row are scanned from the latest back.
-    past = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    found = {}
+    # Frames only grow: the samples after a row, if their values are asked for, are scanned from the latest back.
+    past, whole = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
+    back, found = Window.partitionBy(*keys).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0), {}
     for i, pair in enumerate(pairs):
         was, will = F.last(pair, ignorenulls=True).over(past), F.last(pair, ignorenulls=True).over(back)
+        if strategy == "ZeroOrderHold":
+            will = F.when(F.col("t") <= F.max(pair["t"]).over(whole), F.struct(F.col("t").alias("t"), F.lit(0.0).alias("v")))  # there is one
         found |= {f"_p{i}": F.coalesce(was, F.col(f"_was{i}")) if PIECE in keys else was, f"_n{i}": F.coalesce(will, F.col(f"_will{i}")) if PIECE in keys else will}
     filled = []
     for i in range(len(names)):
