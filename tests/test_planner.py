@@ -412,3 +412,20 @@ def test_state_of_dead_traces_expires_and_late_samples_are_counted(spark, tmp_pa
     assert processor.states(spark, path).first().samples <= 5
     got = spark.table("expiring").groupBy("trace").count().orderBy("trace").collect()
     assert [tuple(r) for r in got] == [("dead", 2), ("live", 57)]
+
+
+def test_thresholds_that_change_in_the_kernel(spark):
+    rnd = random.Random(61)
+    data = samples(spark, rnd, "xy").cache()
+    steps = [(rnd.randrange(0, 60) * 700_000, rnd.choice(["limit", "floor"]), float(rnd.randint(-2, 2))) for _ in range(40)]
+    timeline = spark.createDataFrame(steps, "t long, name string, value double")
+    by_trace = timeline.crossJoin(data.select("trace").distinct())
+    for text in ("G[0,2](x > $limit or y < $floor)", "F[0,3](x > $limit) and x < 3", "(x < $limit) U[0,3] (y > $floor)", "x > $limit"):
+        f = parse_stl(text)
+        for semantics in ("DelayedQuantitative", "DelayedQualitative", "Rosi", "EagerQualitative"):
+            want = rows(planner.verdicts(data, f, semantics, timeline=by_trace, strategy="window"))
+            assert want == rows(planner.verdicts(data, f, semantics, timeline=timeline, strategy="kernel")) != []
+    fixed = spark.createDataFrame([(0, "limit", 1.0), (0, "floor", -1.0)], "t long, name string, value double")
+    for semantics in ("EagerQualitative", "DelayedQuantitative"):
+        got = planner.verdicts(data, parse_stl("(x < $limit) U[0,3] (y > $floor)"), semantics, timeline=fixed)
+        assert rows(got) == rows(planner.verdicts(data, parse_stl("(x < 1) U[0,3] (y > -1)"), semantics))

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from .operators import sync
 from .operators.trace import EAGER, QUALITATIVE, QUANTITATIVE, ROSI, SEMANTICS
 from .plans import planner
-from .plans.formula import Formula, micros, number
+from .plans.formula import Formula, margins, micros, number
 from .plans.parser import parse_stl
-from .streaming.online import Online, margins
+from .streaming.online import Online
 
 
 class Variables:

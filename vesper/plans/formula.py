@@ -239,6 +239,13 @@ class Formula:
     to_tree_string = tree
 
 
+def margins(node: Formula) -> Formula:
+    """The formula with ``s > $v`` as a comparison of the signal ``s-$v``, a sample's distance from the value that v had when it came."""
+    if node.kind in ("gt_var", "lt_var"):
+        return Formula(node.kind[:2], (f"{node.args[0]}-${node.args[1]}", 0.0))
+    return Formula(node.kind, node.args, tuple(margins(p) for p in node.parts)) if node.parts else node
+
+
 def normalize(node: Formula) -> Formula:
     """Implications as disjunctions, no double negation, and constants folded where rows stay the same.
 

@@ -4,7 +4,7 @@ One exchange on trace brings a trace's samples together as wide rows, a time eac
 formula becomes one set of columns. Connectives are column algebra; G and F are forward RANGE frames, which
 share the exchange and the sort, and cost as many steps a row as the frame has rows. Formulas with U, and those whose frames would have
 more than FRAME_ROWS rows by the signals' density, go to the numpy kernel, whose cost doesn't grow with windows' lengths (the window
-strategy can fold a frame's rows in order, if it is asked for, or for a timeline of thresholds); so does whatever asks for the kernel.
+strategy can fold a frame's rows in order, if it is asked for); so does whatever asks for the kernel.
 
 Long traces: with ``bucket`` seconds (at least the formula's depth), each (trace, bucket) is evaluated by itself, with
 the samples up to a depth after it, by either strategy: delayed verdicts and intervals. Signals are aligned bucket by bucket too (see
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from ..operators import sync
 from ..operators.kernels import NEVER
 from ..operators.trace import EAGER, QUALITATIVE, QUANTITATIVE, ROSI, SEMANTICS, Evaluator
-from .formula import Formula, expression_over, micros, normalize
+from .formula import Formula, expression_over, margins, micros, normalize
 
 INF = float("inf")
 #: Rows of frames beyond which the kernel is the cheaper way.
@@ -300,8 +300,7 @@ def verdicts(
     names = sampled + formula.derived()
     folds = any(n.kind == "until" for n in formula.walk())
     if strategy == "auto":
-        fixed = timeline is None or not formula.variables()
-        strategy = "kernel" if fixed and (folds or frame_rows(signals, formula, sampled) > FRAME_ROWS) else "window"
+        strategy = "kernel" if folds or frame_rows(signals, formula, sampled) > FRAME_ROWS else "window"
     if strategy == "window" and semantics == EAGER and folds:
         strategy = "kernel"
     if bucket is not None and micros(bucket) < formula.depth:
@@ -315,7 +314,7 @@ def verdicts(
     kernel = strategy in ("kernel", "naive")
     # What looks at no other row of its trace needn't be dealt by trace.
     alone = formula.depth == 0 and semantics in (QUANTITATIVE, QUALITATIVE) and closure == "any" and not kernel and (len(sampled) < 2 or synchronization == "None")
-    if kernel and len(names) == 1 and grid == "formula":
+    if kernel and len(names) == 1 and grid == "formula" and not formula.variables():
         apart = sync.single(rows, names[0], size)
     else:
         apart = sync.wide(rows, sampled, grid, size, by_trace=not alone)
@@ -323,8 +322,11 @@ def verdicts(
     made = [F.expr(expression_over(n, {b: f"s{i}" for i, b in enumerate(sampled)})) for n in names[len(sampled) :]]
     table = table.withColumns({f"s{i}": F.when(~F.isnan(c), c) for i, c in enumerate(made, len(sampled))})
     table, thresholds = _with_timeline(table, rows, formula, timeline)
-    if kernel and thresholds:
-        raise ValueError("A timeline needs the window strategy")
+    if kernel and thresholds:  # thresholds that change become signals: what a sample is above its threshold
+        atoms = {f"{n.args[0]}-${n.args[1]}": n.args for n in formula.walk() if n.kind in ("gt_var", "lt_var")}
+        above = {n: F.col(f"s{names.index(s)}") - thresholds[v] for n, (s, v) in atoms.items()}
+        table = table.withColumns({f"s{i}": c for i, c in enumerate(above.values(), len(names))})
+        formula, names = margins(formula), names + list(above)
     keys: tuple[str, ...] = ("trace",)
     if bucket is not None:
         table = _with_ends(table, table if semantics == ROSI else apart, formula, names, len(sampled), closure, semantics, thresholds)

@@ -20,13 +20,6 @@ from ..plans.formula import Formula, normalize
 from .incremental import Aligner, Delayed
 
 
-def margins(formula: Formula) -> Formula:
-    """The formula with ``s > $v`` as a comparison of the signal ``s-$v``, as later changes of v are for later samples only."""
-    if formula.kind in ("gt_var", "lt_var"):
-        return Formula(formula.kind[:2], (f"{formula.args[0]}-${formula.args[1]}", 0.0))
-    return Formula(formula.kind, formula.args, tuple(margins(p) for p in formula.parts)) if formula.parts else formula
-
-
 class Online:
     def __init__(self, formula: Formula, semantics: str, synchronization: str = "ZeroOrderHold", naive: bool = False):
         self.formula, self.semantics, self.naive = normalize(formula), semantics, naive

@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 from ..operators import sync
 from ..operators.trace import EAGER, QUALITATIVE, ROSI
 from ..plans import planner
-from ..plans.formula import Formula, micros, normalize
-from .online import Online, margins
+from ..plans.formula import Formula, margins, micros, normalize
+from .online import Online
 
 
 def _columns(semantics: str) -> str:
