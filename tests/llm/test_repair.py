@@ -87,7 +87,7 @@ def expected(rows, damage=True):
 
 
 def got(rows):
-    plans, made = repair.repair(rows)
+    plans, made = repair.repair(rows, whole=True)
     names = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
     return sorted((tuple(r) for r in repair.report(plans, made).select(*names).collect()), key=str)
 
@@ -133,7 +133,7 @@ def test_lost_conversations_empty_tables_and_clashing_names(spark):
     assert rows[dropped] == (dropped, 0, 0, 0, 0, 0, 0, "", EMPTY)
     assert got(repair.damaged(frame.where("false"))) == []
     _, made_rows = repair.repair(repair.turns(frame.where("conv_id = -5")))
-    assert [(r.role, r.text, r.edit) for r in made_rows.orderBy("place").collect()] == [("user", "Yes.", "K"), ("assistant", "No.", "K")]
+    assert [(r.role, r.text, r.edit) for r in made_rows.orderBy("segment", "nth").collect()] == [("user", "Yes.", "K"), ("assistant", "No.", "K")]
 
 
 def test_a_long_conversation_is_in_many_groups(spark):
@@ -142,12 +142,15 @@ def test_a_long_conversation_is_in_many_groups(spark):
     parts = repair.segments(repair.faults(repair.turns(frame)))
     assert sorted(r.n for r in parts.select(F.size("rows").alias("n")).collect()) == [184] + [256] * 11
     assert got(repair.turns(frame)) == expected(rows, damage=False)
+    made_rows = [repair.repair(repair.turns(frame), whole)[1].orderBy("segment", "nth").collect() for whole in (False, True)]
+    assert made_rows[0] == made_rows[1] and len({r.segment for r in made_rows[0]}) == 12
 
 
 def test_main_path_is_native(spark):
     frame = spark.createDataFrame([(1, 0, "user", "Hi.")], SCHEMA)
-    found = repair.plan(repair.segments(repair.faults(repair.damaged(frame))))
-    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "InArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    parts = repair.segments(repair.faults(repair.damaged(frame)))
+    said = repair.edits(parts, repair.plan(parts))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in said and "InArrow" not in said
 
 
 def test_query_is_the_search(spark):

@@ -68,7 +68,7 @@ def op12_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.report(*repair.repair(repair.damaged(frames.table(spark, sf_dir, "conversations"))))
+    return repair.report(*repair.repair(repair.damaged(frames.table(spark, sf_dir, "conversations")), whole=True))
 
 
 def public_tokenizer(name: str) -> str:

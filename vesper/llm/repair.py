@@ -8,8 +8,9 @@ in one group. Each segment's sorted rows are folded by ``aggregate``, from each
 yet, after s, after u, after a), into four (cost, audit) structs, one for the state after it: a row is kept, given
 another role or deleted, with roles put in before it, and the ``least`` struct of each state goes on. Costs, then audits, compare as structs do;
 both orders survive what is appended, so a state's least struct is all that it needs. A second fold joins a conversation's segments: texts
-never take part in it, only an audit letter a row. Built-in functions only, but for the digest of a repaired conversation (``digests``),
-which SHA-256 makes sequential: it streams the rows of a conversation, in order, through one task in bounded memory.
+never take part in it, only an audit letter a row. Faults, folds and edits are built-in functions only. Texts are merged with their edits in
+order, in Arrow batches, so that they are dealt once; the digest of a repaired conversation (``digests``),
+which SHA-256 makes sequential, reads the rows of a conversation, in order, in one task in bounded memory.
 
 Inside, letters name an edit's role too: I and J put in user and assistant, R and S give these roles, K keeps, D deletes; these four
 pairs are never alternatives after equal beginnings, so audits compare as with I and R alone. A row's further copies can only be deleted;
@@ -36,10 +37,12 @@ SEGMENT = 256
 #: What edits cost, and bytes that are no text.
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 BLANKS = " \t\n\x0b\x0c\r"
+#: What audits show of the letters.
+SHOWN = {"K": "K", "R": "R", "S": "R", "I": "I", "J": "I"}
 #: More than any conversation's edits cost.
 NEVER = 1 << 50
 
-DIGESTS = "conv_id long, repaired_sha256 string"
+REPAIRED, DIGESTS = "conv_id long, segment long, nth long, role string, text string, edit string", "conv_id long, repaired_sha256 string"
 
 
 def turns(conversations: DataFrame) -> DataFrame:
@@ -205,29 +208,55 @@ def plan(parts: DataFrame) -> DataFrame:
     )
 
 
-def repaired(rows: DataFrame, parts: DataFrame, plans: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text, edit) of every row after the edits, in order by place; edit is K, R or I."""
+def edits(parts: DataFrame, plans: DataFrame) -> DataFrame:
+    """(conv_id, segment, turn, role, said, word) of every distinct row that isn't just deleted: its letters, with those put in around it."""
     slices = plans.select("conv_id", F.inline("slices")).alias("b")
     a = parts.select("conv_id", "segment", "rows").alias("a")
     met = a.join(slices, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("a.segment").eqNullSafe(F.col("b.segment")))
     words = F.regexp_extract_all("part", F.lit("([IJ]*[DKRS])"), 1)
     each = met.select("a.conv_id", "a.segment", "tail", F.size("rows").alias("n"), F.posexplode(F.arrays_zip(words.alias("word"), F.col("a.rows").alias("row"))).alias("nth", "x"))
     word = F.concat(F.col("x.word"), F.when(F.col("nth") == F.col("n") - 1, F.col("tail")).otherwise(F.lit("")))
-    each = each.select("conv_id", "segment", "nth", F.col("x.row.place.turn").alias("turn"), F.col("x.row.role").alias("role"), F.col("x.row.said").alias("said"), word.alias("word")).where("word <> 'D'").alias("e")
-    keys = ("conv_id", "turn", "role", "said")
-    texts = rows.where("copies > 0").withColumn("said", _said()).groupBy(*keys).agg(F.first("text").alias("text")).alias("t")
-    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"t.{k}")) if k in ("conv_id", "turn") else F.col(f"e.{k}") == F.col(f"t.{k}") for k in keys]
-    full = each.join(texts, same[0] & same[1] & same[2] & same[3]).select("e.*", "t.text")
-    letters = F.split(F.regexp_replace("word", "D", ""), "")
-    one = full.select("conv_id", "segment", "nth", F.col("role").alias("own"), F.col("text").alias("said"), F.posexplode(F.filter(letters, lambda c: c != "")).alias("at", "edit"))
-    role = F.when(F.col("edit") == "K", F.col("own")).when(F.col("edit").isin("I", "R"), F.lit("user")).otherwise(F.lit("assistant"))
-    text = F.when(F.col("edit").isin("I", "J"), F.lit("")).otherwise(F.col("said"))
-    place = F.struct(F.col("segment").isNotNull().alias("there"), "segment", "nth", "at")
-    return one.select("conv_id", place.alias("place"), role.alias("role"), text.alias("text"), F.translate("edit", "JS", "IR").alias("edit"))
+    return each.select("conv_id", "segment", F.col("x.row.place.turn").alias("turn"), F.col("x.row.role").alias("role"), F.col("x.row.said").alias("said"), word.alias("word")).where("word <> 'D'")
+
+
+def repaired(rows: DataFrame, parts: DataFrame, plans: DataFrame, whole: bool = False) -> DataFrame:
+    """(conv_id, segment, nth, role, text, edit) of every row after the edits, in order by segment and nth; edit is K, R or I.
+
+    Texts are dealt once, to the edits of their segment, and both are merged in order; ``whole``: to those of their conversation, whose rows
+    then come one after the other in one task, for what reads them so.
+    """
+    words = edits(parts, plans).withColumn("text", F.lit(None).cast("string"))
+    segment = F.floor(F.col("turn") / F.lit(SEGMENT)).cast("long").alias("segment")
+    texts = rows.where("copies > 0").select("conv_id", segment, "turn", "role", _said().alias("said"), F.lit(None).cast("string").alias("word"), "text")
+    keys = ["conv_id"] if whole else ["conv_id", "segment"]
+    both = words.union(texts).repartition(*keys).sortWithinPartitions("conv_id", "segment", "turn", "role", "said", F.col("word").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, nth, due = None, 0, None  # due: the row that the next text is of, and its letters
+        for batch in batches:
+            out = []
+            for conv, part, turn, role, said, word, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "segment", "turn", "role", "said", "word", "text")), strict=True):
+                if (conv, part) != place:
+                    place, nth = (conv, part), 0
+                if word is not None:
+                    due = (conv, turn, role, said), word
+                elif due is not None and due[0] == (conv, turn, role, said):  # its further copies are deleted
+                    for letter in due[1]:
+                        if letter != "D":
+                            out.append((conv, part, nth, role if letter == "K" else "user" if letter in "IR" else "assistant", "" if letter in "IJ" else text, SHOWN[letter]))
+                            nth += 1
+                    due = None
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in REPAIRED.split(", ")])
+            batch = out = None
+            frames.tidy()
+
+    return both.mapInArrow(run, REPAIRED)
 
 
 def digests(made: DataFrame) -> DataFrame:
-    """(conv_id, repaired_sha256) of the conversations that repaired() has rows of: "role:text" by lines, read in order."""
+    """(conv_id, repaired_sha256) of the conversations that repaired(whole=True) has rows of: "role:text" by lines, read as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, begun, digest, done = None, False, None, []
@@ -250,18 +279,18 @@ def digests(made: DataFrame) -> DataFrame:
             done.append((now, digest.hexdigest()))
             yield table()
 
-    return made.repartition("conv_id").sortWithinPartitions("conv_id", "place").select("conv_id", "role", "text").mapInArrow(run, DIGESTS)
+    return made.select("conv_id", "role", "text").mapInArrow(run, DIGESTS)
 
 
-def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repair(rows: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Of turns() or damaged(): plan() (a row per conversation) and repaired() (a row per turn after the edits)."""
     parts = frames.keep(segments(faults(rows)), "segments")
     plans = frames.keep(plan(parts), "plans")
-    return plans, repaired(rows, parts, plans)
+    return plans, repaired(rows, parts, plans, whole)
 
 
 def report(plans: DataFrame, made: DataFrame) -> DataFrame:
-    """A row per conversation: plan()'s figures, and the digest of its rows after the edits."""
+    """A row per conversation: plan()'s figures, and the digest of its rows after the edits, which are whole conversations in order."""
     found = digests(made).alias("d")
     met = plans.drop("slices").alias("p").join(found, F.col("p.conv_id").eqNullSafe(F.col("d.conv_id")), "left")
     return met.select("p.*", F.coalesce("d.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
