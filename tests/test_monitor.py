@@ -7,6 +7,7 @@ import pytest
 from vesper import Formula, Monitor, Variables, parse_stl
 from vesper.plans import catalog
 
+# Published inputs, formulas and the verdicts that come with each input.
 S1 = [("x", v, t) for t, v in enumerate((5, 4, 6, 2, 5))]
 S2 = [("x", v, t) for t, v in enumerate((1, 1, 1, 2, 3, 4, 0, 0, 0, 1, 2))]
 S3 = [("x", v, t) for t, v in enumerate((0, 6, 1, 0, 8, 1, 7))]

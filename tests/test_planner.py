@@ -323,6 +323,7 @@ def test_strategy_goes_by_the_rows_of_frames(spark):
     f = parse_stl("G[0,10](x > 0)")
     assert abs(planner.frame_rows(data, f, ["x"]) - 10) < 0.1 and planner.frame_rows(data.where("false"), f, ["x"]) == 0
     python = lambda text, **options: "InArrow" in planner.verdicts(data, parse_stl(text), **options)._jdf.queryExecution().executedPlan().toString()
+    assert python("G[0,10](x > 0)", per_second=2.0) and not python("G[0,100](x > 0)", per_second=0.1)
     assert not python("G[0,10](x > 0)") and python("G[0,100](x > 0)") and not python("G[0,100](x > 0)", strategy="window") and python("x > 0 U[0,1] x > 1")
 
 

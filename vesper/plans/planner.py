@@ -262,10 +262,12 @@ def density(signals: DataFrame, names: list[str]) -> float:
     return _densities[key]
 
 
-def frame_rows(signals: DataFrame, formula: Formula, names: list[str]) -> float:
+def frame_rows(signals: DataFrame, formula: Formula, names: list[str], per_second: float | None = None) -> float:
     """Rows that the frames of a formula's windows have together, on average."""
-    spans = [micros(n.args[1]) - micros(n.args[0]) for n in formula.walk() if n.kind in ("always", "eventually")]
-    return density(signals, names) * sum(spans) if spans else 0.0
+    spans = sum(micros(n.args[1]) - micros(n.args[0]) for n in formula.walk() if n.kind in ("always", "eventually"))
+    if not spans:
+        return 0.0
+    return spans * (density(signals, names) if per_second is None else per_second / 1e6)
 
 
 def verdicts(
@@ -282,6 +284,7 @@ def verdicts(
     grid: str = "formula",
     until_lower_bound: str = "textbook",
     arrivals: int | None = None,
+    per_second: float | None = None,
 ) -> DataFrame:
     """Verdicts (trace, t, value | value, decided_at | lo, hi) of signals (trace, signal, t in microseconds, value[, arrival_seq]).
 
@@ -289,7 +292,7 @@ def verdicts(
     frames), "kernel" (numpy over traces, or buckets of them) or "naive" (the definition, for comparison).
     closure: "any" (some signal has reached t + depth) or "frontier" (all of the formula's have). horizon: only samples up
     to it are seen. until_lower_bound: "textbook", or "ignore" to let t' begin at t. Late samples are dropped first (with arrivals, in
-    pieces of so many numbers of arrival_seq).
+    pieces of so many numbers of arrival_seq). per_second: a trace's samples in a second, for "auto"; else a scan of the table counts them once.
     """
     if semantics not in SEMANTICS:
         raise ValueError(f"Invalid semantics. Use one of {', '.join(SEMANTICS)}")
@@ -300,7 +303,7 @@ def verdicts(
     names = sampled + formula.derived()
     folds = any(n.kind == "until" for n in formula.walk())
     if strategy == "auto":
-        strategy = "kernel" if folds or frame_rows(signals, formula, sampled) > FRAME_ROWS else "window"
+        strategy = "kernel" if folds or frame_rows(signals, formula, sampled, per_second) > FRAME_ROWS else "window"
     if strategy == "window" and semantics == EAGER and folds:
         strategy = "kernel"
     if bucket is not None and micros(bucket) < formula.depth:
