@@ -73,3 +73,22 @@ def test_random_windows_are_their_rows():
     for largest, pick, empty in ((True, max, -9.0), (False, min, 9.0)):
         got = kernels.extremes(values, low, high, largest, empty)
         assert got.tolist() == [pick(values[a:b], default=empty) for a, b in zip(low, high, strict=True)]
+
+
+def test_whole_traces_come_in_runs_however_batches_are_cut():
+    import pyarrow as pa
+
+    from vesper.plans import planner
+
+    rnd = random.Random(1)
+    for _ in range(100):
+        sizes = [rnd.randrange(1, 60) for _ in range(rnd.randrange(12))]
+        trace = np.repeat(np.arange(len(sizes)), sizes)
+        whole = pa.RecordBatch.from_pydict({"trace": pa.array(trace), "t": pa.array(np.concatenate([np.arange(n) for n in sizes]) if sizes else np.zeros(0, int))})
+        parts, at = [], 0
+        while at < whole.num_rows:
+            parts.append(whole.slice(at, n := rnd.randrange(1, 20)))
+            at += n
+        got = list(planner._whole(iter(parts), ["trace"], rnd.choice([1, 10, 50]), 1 << 62))
+        assert [x for batch, _ in got for x in batch.column("trace").to_pylist()] == trace.tolist()
+        assert [batch.column("trace")[int(s)].as_py() for batch, starts in got for s in starts] == list(range(len(sizes)))

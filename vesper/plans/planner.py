@@ -288,7 +288,7 @@ def verdicts(
 ) -> DataFrame:
     """Verdicts (trace, t, value | value, decided_at | lo, hi) of signals (trace, signal, t in microseconds, value[, arrival_seq]).
 
-    strategy: "auto" ("kernel" for formulas with until and for frames of more than FRAME_ROWS rows, else "window"), "window" (built-in
+    strategy: "auto" ("kernel" for until, eager windows and frames of more than FRAME_ROWS rows, else "window"), "window" (built-in
     frames), "kernel" (numpy over traces, or buckets of them) or "naive" (the definition, for comparison).
     closure: "any" (some signal has reached t + depth) or "frontier" (all of the formula's have). horizon: only samples up
     to it are seen. until_lower_bound: "textbook", or "ignore" to let t' begin at t. Late samples are dropped first (with arrivals, in
@@ -303,7 +303,8 @@ def verdicts(
     names = sampled + formula.derived()
     folds = any(n.kind == "until" for n in formula.walk())
     if strategy == "auto":
-        strategy = "kernel" if folds or frame_rows(signals, formula, sampled, per_second) > FRAME_ROWS else "window"
+        closes = semantics == EAGER and formula.depth > 0  # the first time at or after a window's end would be a frame to the trace's end
+        strategy = "kernel" if folds or closes or frame_rows(signals, formula, sampled, per_second) > FRAME_ROWS else "window"
     if strategy == "window" and semantics == EAGER and folds:
         strategy = "kernel"
     if bucket is not None and micros(bucket) < formula.depth:
@@ -414,12 +415,12 @@ def _starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
 def _whole(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, axis: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Whole traces, in runs of about so many rows, with the rows at which they begin."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, need = 0, rows
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
             held.append(batch)
             size += batch.num_rows
-            if size < rows:
+            if size < need:
                 continue
         if not size:
             return
@@ -427,6 +428,7 @@ def _whole(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, axis:
         starts = _starts(made, keys)
         cut = made.num_rows if batch is None else int(starts[-1])  # the last trace may go on
         held, size = [made.slice(cut)], made.num_rows - cut
+        need = max(rows, 2 * size)  # a longer trace is put together a few times only
         starts = np.append(starts[starts < cut], cut)
         t = made.column("t").to_numpy()
         firsts, lasts = t[starts[:-1]].astype(np.float64), t[starts[1:] - 1].astype(np.float64)
