@@ -150,3 +150,28 @@ def test_hits_do_not_grow_with_the_tasks(spark, monkeypatch):
     many = bm25.search(docs.repartition(60), asked).orderBy("query_id", "rank").collect()
     assert many == few and len(few) > 250
     assert kept["hits"].count() < 30 * 10 * 3 * bm25.SAMPLE  # 60 tasks could give ten each
+
+
+def test_queries_searched_together_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, many = 700, 150
+    lists = [np.flatnonzero(rng.random(n) < (0.5 if i < 20 else 0.1 if i < 60 else 0.01)) for i in range(many)]
+    term = np.repeat(np.arange(many), [x.size for x in lists])
+    doc, score = np.concatenate(lists), np.round(rng.random(term.size) * 3, 2) + 0.01
+    order = np.lexsort((term, doc))
+    ids = rng.permutation(n)
+    asked = [np.sort(rng.choice(many, size, replace=False)) for size in rng.integers(0, 90, 40)]
+    for k in (1, 7):
+        best = [bm25.wand([(doc[term == t], score[term == t]) for t in own], k, ids) for own in asked]
+        for together, cells in ((256, 1 << 23), (3, 1 << 23), (16, 5 * n), (16, 0)):  # few and no long lists, too
+            monkeypatch.setattr(bm25, "TOGETHER", together)
+            monkeypatch.setattr(bm25, "CELLS", cells)
+            shard = bm25.Shard(term[order], doc[order], score[order], ids, many)
+            for part in (0.0, 0.8, 1.0):
+                assert list(shard.searches(asked, k, [hits[-1][0] * part if len(hits) == k else 0.0 for hits in best])) == best
+
+
+def test_first_search_has_tasks_in_proportion(spark):
+    docs = spark.range(400).selectExpr("id as at", "'a b' as text")
+    assert bm25.first_tasks(docs.repartition(20 * bm25.SAMPLE)) == 20
+    assert bm25.first_tasks(docs.repartition(2)) == bm25.SAMPLE_TASKS
