@@ -430,3 +430,15 @@ def test_thresholds_that_change_in_the_kernel(spark):
     for semantics in ("EagerQualitative", "DelayedQuantitative"):
         got = planner.verdicts(data, parse_stl("(x < $limit) U[0,3] (y > $floor)"), semantics, timeline=fixed)
         assert rows(got) == rows(planner.verdicts(data, parse_stl("(x < 1) U[0,3] (y > -1)"), semantics))
+
+
+def test_daily_tasks_grow_with_the_rows_and_are_dealt_once(spark, monkeypatch):
+    table = spark.range(3000).selectExpr("id % 40 as k", "date_add(date'2024-01-01', cast(id % 90 as int)) as d", "id * 0.5 as v")
+    few = signals.daily(table, "k", "d", "v", "x")
+    monkeypatch.setattr(signals, "TASK_ROWS", 100)
+    rows = signals.daily(table, "k", "d", "v", "x")
+    assert rows.rdd.getNumPartitions() == 30 and sorted(rows.collect()) == sorted(few.collect())
+    for strategy in ("window", "kernel"):
+        made = planner.verdicts(rows, parse_stl("G[0,172800](x < 100)"), strategy=strategy, dealt=True)
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        assert sorted(made.collect()) == sorted(planner.verdicts(few, parse_stl("G[0,172800](x < 100)"), strategy=strategy).collect()) != []
