@@ -432,6 +432,20 @@ def test_thresholds_that_change_in_the_kernel(spark):
         assert rows(got) == rows(planner.verdicts(data, parse_stl("(x < 1) U[0,3] (y > -1)"), semantics))
 
 
+def test_formulas_together_as_one_by_one(spark):
+    rnd = random.Random(12)
+    rows = samples(spark, rnd, traces=9, n=60)
+    rows = rows.union(rows.limit(20)).union(spark.createDataFrame([("odd", "x", 5, None), (None, "x", 5, 1.0), ("odd", "y", 9, 1.0)], SCHEMA))
+    several = [(i, formula(rnd, i % 4)) for i in range(1, 16)] + [(16, Formula.always(0, 10**9, Formula.gt("x", 0.0)))]
+    got = {r.formula: tuple(r)[1:] for r in planner.summaries(rows, several).collect()}
+    for i, f in several:
+        assert got[i] == tuple(planner.verdicts(rows, f, strategy="kernel").agg(F.count("*"), F.min("value"), F.max("value")).first())
+    assert got[16] == (0, None, None) and sum(n for n, _, _ in got.values()) > 100
+    assert {tuple(r)[1:] for r in planner.summaries(rows.limit(0), several).collect()} == {(0, None, None)}
+    with pytest.raises(ValueError, match="same one signal"):
+        planner.summaries(rows, [(1, Formula.gt("x", 0.0)), (2, Formula.gt("y", 0.0))])
+
+
 def test_daily_tasks_grow_with_the_rows_and_are_dealt_once(spark, monkeypatch):
     table = spark.range(3000).selectExpr("id % 40 as k", "date_add(date'2024-01-01', cast(id % 90 as int)) as d", "id * 0.5 as v")
     few = signals.daily(table, "k", "d", "v", "x")
